@@ -2,15 +2,15 @@
 
 A word's bag holds the word itself and its character 3-, 4- and 5-grams between word marks, hashed into ``buckets``
 vectors of ``dim`` numbers. A text is the average over the bags of its distinct words; a linear softmax over two classes
-gives the score. Embeddings and softmax are trained jointly, in numpy, by full-batch Adam steps: the averages are a
-sparse matrix A, so the forward pass is A (E W) and the gradient of E is (A' d) W', both by sums over the entries of A.
+gives the score. Embeddings and softmax are trained jointly, in numpy, by full-batch gradient steps with momentum (plain steps move a
+subword by how many texts show it, which keeps rare subwords from being learnt by heart): the averages are a sparse
+matrix A, so the forward pass is A (E W) and the gradient of E is (A' d) W', both by sums over its entries.
 Unseen misspellings and inflections share most of their character n-grams with words seen in training.
 
 The classifier is fitted on a bounded sample of labelled rows, at most ``max_per_class`` texts of at most ``max_chars``
 characters of each class, by a hash of doc_id. All texts are scored whole.
 
-Edge cases: null and empty texts get the score of the training share of toxic rows in the sample's balance, which the bias
-gives (an empty bag averages to 0); without labelled rows of both classes every score is 0; rows with equal doc_id are
+Edge cases: null and empty texts have an empty bag, which averages to 0, and get the score that the bias gives; without labelled rows of both classes every score is 0; rows with equal doc_id are
 scored apart; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._text import mix, slices, word_codes, words
 
-BUCKETS, DIM, MAX_PER_CLASS, MAX_CHARS, STEPS, RATE = 1 << 17, 8, 2000, 6_000, 120, 0.05
+BUCKETS, DIM, MAX_PER_CLASS, MAX_CHARS, STEPS, RATE = 1 << 17, 8, 1500, 40_000, 120, 1.0
+#: Zero vectors that every bag holds besides its subwords, so that a few words alone can't decide; the softmax's scale.
+PADDING, SCALE, MOMENTUM = 600, 60.0, 0.9
 BLOCK_BYTES = 8 << 20
 
 
@@ -63,45 +65,46 @@ class Model:
 
     def __init__(self, texts: list[str], toxic: np.ndarray, buckets: int, dim: int, steps: int, rate: float, seed: int = 3):
         n = len(texts)
-        rows, cols = [], []
-        for a in range(0, n, 500):
-            gram, word, text, pair_word = bags(pa.array(texts[a : a + 500], pa.string()), buckets)
+        parts = []  # per part of the texts: its first text, the subwords text by text, how many each text has
+        for a in range(0, n, 200):
+            gram, word, text, pair_word = bags(pa.array(texts[a : a + 200], pa.string()), buckets)
             order = np.argsort(word, kind="stable")
-            gram, word = gram[order], word[order]
             size = np.bincount(word, minlength=int(word.max(initial=-1)) + 1)
             begin = np.concatenate(([0], np.cumsum(size)))
             k = size[pair_word]
             stop = np.cumsum(k)
-            cols.append(gram[np.repeat(begin[pair_word] - (stop - k), k) + np.arange(int(stop[-1]) if len(stop) else 0)].astype(np.int32))
-            rows.append((np.repeat(text, k) + a).astype(np.int32))
-        row, col = np.concatenate(rows), np.concatenate(cols)
-        weight = (1.0 / np.maximum(np.bincount(row, minlength=n), 1))[row].astype(np.float32)
+            col = gram[order][np.repeat(begin[pair_word] - (stop - k), k) + np.arange(int(stop[-1]) if len(stop) else 0)].astype(np.int32)
+            parts.append((a, col, np.bincount(text, weights=k, minlength=len(texts[a : a + 200])).astype(np.int64)))
         rng = np.random.default_rng(seed)
-        e = rng.normal(0, 0.1, (buckets, dim))
-        w, b = rng.normal(0, 1.0, (dim, 2)), np.zeros(2)
+        e, w, b = rng.normal(0, 0.01, (buckets, dim)), rng.normal(0, 1.0, (dim, 2)), np.zeros(2)
         y = np.stack([1 - toxic, toxic], axis=1).astype(np.float64)
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        filled = row[starts]
-        for step in range(1, steps + 1):
-            v = e @ w
-            z = np.tile(b, (n, 1))
-            for j in range(2):
-                if len(starts):
-                    z[filled, j] += np.add.reduceat(v[col, j] * weight, starts)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            d = (p - y) / n
-            s = np.stack([np.bincount(col, weights=weight * d[row, j], minlength=buckets) for j in range(2)], axis=1)
-            grads = (s @ w.T, e.T @ s, d.sum(0))
-            for param, grad, (m1, m2) in zip((e, w, b), grads, moments, strict=True):
-                m1 *= 0.9
-                m1 += 0.1 * grad
-                m2 *= 0.99
-                m2 += 0.01 * grad * grad
-                param -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-10)
+        share = (y / (2 * np.maximum(y.sum(0), 1))).sum(1)  # both classes weigh the same
+        moved = [np.zeros_like(x) for x in (e, w, b)]
+        for _ in range(steps):
+            v = SCALE * (e @ w)
+            s = np.zeros(buckets)
+            slope = np.zeros(2)
+            for a, col, size in parts:
+                z = np.tile(b, (len(size), 1))
+                full = size > 0
+                starts = (np.cumsum(size) - size)[full]
+                for j in range(2):
+                    if len(starts):
+                        z[full, j] += np.add.reduceat(v[col, j], starts) / (size[full] + PADDING)
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                d = (p - y[a : a + len(size)]) * share[a : a + len(size), None]
+                slope += d.sum(0)
+                # the slopes of both classes are opposite, so one sum over the subwords serves both columns
+                s += SCALE * np.bincount(col, weights=np.repeat(d[:, 1] / (size + PADDING), size), minlength=buckets)
+            both = np.stack([-s, s], axis=1)
+            grads = (both @ w.T, 0.1 * (e.T @ both), slope)
+            for param, grad, last in zip((e, w, b), grads, moved, strict=True):
+                last *= MOMENTUM
+                last -= rate * grad
+                param += last
         self.buckets, self.e, self.w, self.b = buckets, e.astype(np.float32), w, b
-        self.margin = (self.e @ (w[:, 1] - w[:, 0])).astype(np.float64)  # what one subword adds to the log odds
+        self.margin = SCALE * (self.e @ (w[:, 1] - w[:, 0])).astype(np.float64)  # what one subword adds to the log odds
         self.bias = float(b[1] - b[0])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -111,7 +114,7 @@ class Model:
         n = len(texts)
         total = np.bincount(text, weights=sums[pair_word], minlength=n)
         size = np.bincount(text, weights=sizes[pair_word], minlength=n)
-        z = total / np.maximum(size, 1) + self.bias
+        z = total / (size + PADDING) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -124,8 +127,8 @@ def fit(
     parts = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(2 * max_per_class) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 4 * max_per_class rows
     texts = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)).between(1, max_chars)).join(chosen, "doc_id")
-    parts = [texts.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").limit(max_per_class) for k in (0, 1)]
-    rows = sorted((tuple(r) for p in parts for r in p.collect()), key=lambda r: (r[0], r[1]))
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text"))
+    rows = sorted((tuple(r) for r in texts.withColumn("_n", nth).filter(F.col("_n") <= max_per_class).drop("_n").collect()), key=lambda r: (r[0], r[1]))
     toxic = np.array([r[2] for r in rows], dtype=np.float64)
     if not len(rows) or toxic.min() == toxic.max():
         return None
