@@ -93,7 +93,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("span", "said", "target"))).alias("w"),
         F.sum("chars").cast("long").alias("formatted_chars"),
     )
-    turns, loss = (F.array_join(F.transform("w", lambda x, f=f: x[f]), "") for f in ("said", "target"))
+    turns, loss = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.target"), "")
     return whole.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 

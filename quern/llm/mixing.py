@@ -123,13 +123,16 @@ def realize(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
     ``doc_id`` has to be unique in ``docs``; a document that the mix doesn't take has no row.
     """
-    p = plan.select("doc_id", "size", "copies", "part_from", "part_to", "head_from", "head_to")
-    joined = docs.join(small(p, 300_000), "doc_id").withColumn("_words", F.when((F.col("part_to") > 0) | (F.col("head_to") > 0), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    names = ("size", "copies", "part_from", "part_to", "head_from", "head_to")
+    p = plan.select("doc_id", F.struct(*names).alias("_mix"))
+    size, copies, part_from, part_to, head_from, head_to = (F.col(f"_mix.{c}") for c in names)
+    cut = (part_to > 0) | (head_to > 0)
+    joined = docs.join(small(p, 300_000), "doc_id").withColumn("_split", F.when(cut, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
 
-    def part(a: str, b: str) -> Column:
-        whole = (F.col(a) == 0) & (F.col(b) == F.col("size"))
-        return F.when(whole, F.col("text")).when(F.col(b) > F.col(a), F.array_join(F.slice("_words", (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " "))
+    def part(a: Column, b: Column) -> Column:
+        whole = (a == 0) & (b == size)
+        return F.when(b > a, F.when(whole, F.col("text")).otherwise(F.array_join(F.slice("_split", (a + 1).cast("int"), (b - a).cast("int")), " ")))
 
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("copies").cast("int")), F.array_compact(F.array(part("part_from", "part_to"), part("head_from", "head_to"))))
+    texts = F.concat(F.array_repeat(F.col("text"), copies.cast("int")), F.array_compact(F.array(part(part_from, part_to), part(head_from, head_to))))
     out = joined.withColumn("_out", F.explode(texts))
     return out.select(*[F.col("_out").alias("text") if c == "text" else F.length("_out").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -237,8 +237,9 @@ _MAYBE = r"[0-9]|@"
 
 def replace_pii(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
     """The rows of docs with ``text`` pseudonymised, and with ``counts`` a column n_<kind> for each kind."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     extra = [f"n_{k}" for k in KINDS] if counts else []
+    docs = docs.drop(*extra)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = [*docs.columns, *extra]
     at = docs.columns.index("text")
 

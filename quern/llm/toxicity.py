@@ -136,8 +136,9 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (doc_id, text, ...) with score and predicted (1 if score >= 0.5)."""
+    """docs (doc_id, text, ...) with score and predicted (1 if score >= 0.5), in place of columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score", "predicted")
     names = [*docs.columns, "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
