@@ -20,9 +20,9 @@ LEAST_RESPONSE = 0.05
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no known language (no letters, or unlike every language) go; a missing ``lang`` is filled in."""
-    found = langid.identify(docs, F.lit(True))
-    good = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_RESPONSE))
-    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, F.lit(True), pred="_lang", score="_score")
+    good = found.filter((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_RESPONSE))
+    return good.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
