@@ -8,11 +8,14 @@ is concentrated as for t independent hashes.
 Plan:
 1. One pass over the texts: number of shingles, a digest of the whole word sequence, the band keys of the sketch.
 2. Equal word sequences are one class; only its smallest doc_id goes on.
-3. Buckets (band keys) with two members or more. In each round a bucket proposes pairs of its centre with members of
-   other components; centres are the members that share most buckets, so a group of copies of one text meets around
-   it. Every proposal is verified on the full shingle sets, and the links found join components. At the end the pairs
-   of each bucket that still lie in different components and were not yet verified are all verified, so no link of a
-   bucket is lost and groups are not expanded into all pairs.
+3. Buckets (band keys) with two members or more. A bucket proposes the pairs of its centre, the member that shares most
+   buckets, with the others; every proposal is verified on the full shingle sets, and the links found join components.
+   Then buckets of at most ``PAIRS_UP_TO`` members propose all pairs between different components.
+   Larger buckets, which a group of many variants of one text makes, are searched exactly without listing their pairs.
+   Each has a root R near their middle, and D(x) = x symmetric-difference R. For two texts |a diff b| = |D(a) diff D(b)|,
+   so a link needs D(a) and D(b) to share (|D(a)| + |D(b)| - |a diff b|) / 2 elements, at least one unless both
+   are linked with R. D holds a variant's own edits, rare things; with the elements rarest first, a prefix filter on
+   D leaves few candidates, and loses none.
 4. Components by alternating large-star and small-star steps, cut off with written tables.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.85 with 32 bands of 4 it is missed
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._text import mix, slices, words
@@ -38,8 +41,8 @@ from quern.runtime import small, stage
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
 BLOCK_BYTES = 8 << 20
-#: Rounds in which buckets propose pairs with one centre each, before all pairs left are verified.
-ROUNDS = 2
+#: Members up to which a bucket's pairs are listed; larger buckets go through the differences to a root.
+PAIRS_UP_TO = 32
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,7 +158,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, rounds: int = ROUNDS
+    docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, n_links (verified links of its class's first text)."""
     sketches = stage(profile(docs, k, bands, rows).dropDuplicates(["doc_id"]) if _repeats(docs) else profile(docs, k, bands, rows))
@@ -184,31 +187,38 @@ def near_duplicates(
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.filter(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
 
-    tried = links = comp = None
-    for turn in range(rounds + 1):
-        if comp is None:
-            now = buckets.withColumn("component", F.col("doc_id"))
-        else:
-            named = comp.select(F.col("node").alias("doc_id"), "component")
-            now = buckets.join(small(named), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-            now = stage(now.join(mixed, "key"))
-        if turn < rounds:
-            centre = F.max(F.struct("weight", (-F.col("doc_id")).alias("d"), "component")) if turn == 0 else F.max(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("w"), (-F.col("doc_id")).alias("d"), "component"))
-            stars = now.groupBy("key").agg(centre.alias("c")).select("key", (-F.col("c.d")).alias("c"), F.col("c.component").alias("cc"))
-            pairs = now.join(stars, "key").filter("component <> cc").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
-        else:
-            other = now.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = now.select("key", F.col("doc_id").alias("a"), "component").join(other, "key").filter("a < b and component <> cb").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        found = stage(verified(pairs))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    def joined_by(found: DataFrame, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         if links is None or found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             comp = components(links)
+        return links, comp
+
+    def mixed(comp: DataFrame) -> DataFrame:
+        """Bucket rows with components, of buckets that hold two components or more."""
+        named = buckets.join(small(comp.select(F.col("node").alias("doc_id"), "component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        spread = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+        return named.join(spread.select("key", "n"), "key")
+
+    # every bucket's centre with its members
+    stars = buckets.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("d"))).alias("c")).select("key", (-F.col("c.d")).alias("c"))
+    pairs = buckets.join(stars, "key").filter("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+    tried = stage(pairs.distinct())
+    links, comp = joined_by(stage(verified(tried)), None, None)
+    # small buckets: all pairs between components
+    rest = stage(mixed(comp))
+    few = rest.filter(F.col("n") <= pairs_up_to)
+    other = few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+    pairs = few.select("key", F.col("doc_id").alias("a"), "component").join(other, "key").filter("a < b and component <> cb").select("a", "b")
+    found = stage(verified(stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"))))
+    links, comp = joined_by(found, links, comp)
+    # large buckets: exactly, through the differences to a common root
+    many = stage(mixed(comp).filter(F.col("n") > pairs_up_to))
+    if many.limit(1).count():
+        members = stage(_roots(many))
+        found, pairs = _by_differences(members, sets, lambda f: joined_by(f, links, comp), percent)
+        links, comp = found
+        found = stage(verified(stage(pairs)))
+        links, comp = joined_by(found, links, comp)
     degree = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     rep = F.coalesce("rep", "doc_id")
     out = sketches.select("doc_id", "n_shingles").join(small(member), "doc_id", "left").withColumn("rep", rep)
@@ -217,6 +227,52 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", top.alias("component_id"), (F.col("doc_id") == top).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _roots(many: DataFrame) -> DataFrame:
+    """(root, doc_id) of the rows (key, doc_id, weight, ...) of large buckets: all members of a bucket have its root.
+
+    A bucket's centre is its member of most weight; its root is found by going twice from a document to the heaviest centre
+    among its buckets, so the many buckets of one group agree on one root, or a few.
+    """
+    heaviest = F.max(F.struct("weight", (-F.col("doc_id")).alias("d")))
+    centres = many.groupBy("key").agg(heaviest.alias("h")).select("key", "h", (-F.col("h.d")).alias("c"))
+    up = many.select("key", "doc_id").join(centres, "key").groupBy("doc_id").agg(F.max("h").alias("h")).select(F.col("doc_id").alias("c"), (-F.col("h.d")).alias("up"))
+    once = centres.select("key", "c").join(up, "c").select("key", F.col("up").alias("c"))
+    roots = once.join(up, "c").select("key", F.col("up").alias("root"))
+    return many.select("key", "doc_id").join(roots, "key").select("root", "doc_id").distinct()
+
+
+def _by_differences(members: DataFrame, sets: DataFrame, join, percent: int) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """Link members with their roots, then propose the pairs that may be linked: ((links, components), pairs)."""
+    root = sets.select(F.col("doc_id").alias("root"), F.col("shingles").alias("sr"))
+    both = members.join(sets, "doc_id").join(root, "root")
+    d = F.concat(F.array_except("shingles", "sr"), F.array_except("sr", "shingles"))
+    differ = stage(both.select("root", "doc_id", F.size("shingles").alias("n"), F.size("sr").alias("nr"), d.alias("d")).withColumn("nd", F.size("d")))
+    # similarity >= p is a difference of at most (n + m) (1 - p) / (1 + p)
+    near = F.col("nd") * (100 + percent) <= (F.col("n") + F.col("nr")) * (100 - percent)
+    found = stage(differ.filter(near & (F.col("doc_id") != F.col("root"))).select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct())
+    links, comp = join(found)
+    named = comp.select(F.col("node").alias("doc_id"), "component")
+    of_root = comp.select(F.col("node").alias("root"), F.col("component").alias("rc"))
+    rows = differ.join(small(named), "doc_id", "left").join(small(of_root), "root", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "doc_id")).withColumn("rc", F.coalesce("rc", "root"))
+    # elements that a partner in another component has to share at least
+    inside = F.floor((F.col("nd") * (100 + percent) + (F.col("nr") - F.col("n")) * (100 - percent)) / (2 * (100 + percent))) + 1
+    outside = F.col("nd") - F.floor(F.col("n") * (100 - percent) / percent)
+    need = F.greatest(F.lit(1), F.when(F.col("component") == F.col("rc"), inside).otherwise(outside))
+    rows = rows.filter("nd > 0").withColumn("keep", F.col("nd") - need + 1).filter("keep > 0")
+    at = rows.select("root", "doc_id", "component", "n", "nd", "keep", F.explode("d").alias("x"))
+    counts = at.groupBy("root", "x").agg(F.count("*").alias("df")).filter("df > 1")
+    # an element that no other member has can't be shared, but it takes its place in the prefix
+    ranked = at.join(counts, ["root", "x"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("df", "x"))
+    prefix = stage(ranked.withColumn("r", nth).filter((F.col("r") <= F.col("keep")) & (F.col("df") > 1)).select("root", "doc_id", "component", "n", "nd", "x"))
+    a = prefix.select("root", "x", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("nd").alias("da"))
+    b = prefix.select("root", "x", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("nd").alias("db"))
+    close = (F.abs(F.col("da") - F.col("db")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = a.join(b, ["root", "x"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    return (links, comp), pairs
+
+
 def _repeats(docs: DataFrame) -> bool:
     """Whether a doc_id occurs twice."""
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
