@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._text import slices
-from quern.runtime import small
+from quern.runtime import small, stage
 
 MAX_TRAIN, MAX_LANDMARKS, MAX_CHARS, RIDGE, ALPHABET = 2400, 192, 20_000, 0.01, 160
 UNDETERMINED = "und"
@@ -130,25 +130,33 @@ class Model:
 
 def sample(docs: DataFrame, train: Column, max_train: int, max_chars: int) -> list[tuple[str, str]]:
     """At most ``max_train`` (text, lang) pairs, shared evenly by the languages and alternating between them."""
-    labelled = docs.filter(train & F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)).between(1, max_chars)))
-    n = labelled.select("lang").distinct().count()
+    labelled = docs.filter(train & F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)).between(1, max_chars))).select("doc_id", "text", "lang")
+    counts = stage(labelled.groupBy("lang").agg(F.count("*").alias("_n")))
+    n = counts.count()
     if not n:
         return []
+    # a language's rows below a hash limit that leaves about twice the rows wanted, so that no task ranks a whole language
+    each = max(1, max_train // n)
+    hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("_h")).join(small(counts), "lang")
+    few = hashed.filter(F.pmod("_h", F.lit(1 << 20)) * F.col("_n") < F.lit((1 << 20) * (2 * each + 50)))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("_h")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max(1, max_train // n)).limit(max_train)
+    ids = few.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).limit(max_train)
     ids = small(ids.select(F.col("doc_id").alias("_id"), "_r", "_h"))
     rows = labelled.join(ids, F.col("doc_id") == F.col("_id"), "inner").select("_r", "_h", "text", "lang").limit(2 * max_train).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_r"], r["_h"], r["lang"], r["text"]))]
 
 
 def identify(
-    docs: DataFrame, train: Column, max_train: int = MAX_TRAIN, max_landmarks: int = MAX_LANDMARKS, max_chars: int = MAX_CHARS, ridge: float = RIDGE
+    docs: DataFrame, train: Column, max_train: int = MAX_TRAIN, max_landmarks: int = MAX_LANDMARKS, max_chars: int = MAX_CHARS, ridge: float = RIDGE,
+    pred: str = "lang_pred", score: str = "score",
 ) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, ...) with lang_pred and score; ``train`` marks the rows to learn from."""
+    """The rows of docs (doc_id, text, lang, ...) with columns ``pred`` and ``score`` (in place of any of these names);
+    ``train`` marks the rows to learn from."""
     pairs = sample(docs, train, max_train, max_chars)
     model = Model([p[0] for p in pairs], [p[1] for p in pairs], max_landmarks, ridge, ALPHABET) if pairs else None
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "lang_pred", "score"]
+    docs = docs.drop(pred, score)
+    names = [*docs.columns, pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -166,4 +174,4 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(top)], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")
