@@ -34,7 +34,7 @@ KINDS = ("card", "iban", "date", "ip", "ssn", "phone", "email")
 
 #: One alternative for each kind, tried in this order at each place.
 PATTERN = re.compile(
-    r"(?<![\w.])(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24})(?![A-Za-z0-9])"
+    r"(?<![\w.])(?P<email>\w[\w.%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24})(?![A-Za-z0-9])"
     r"|(?<![\w])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w])"
     r"|(?<![\w.-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![\w-])(?!\.[0-9])"
     r"|(?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\w)(?!\.[0-9])"
@@ -188,28 +188,32 @@ def _mod97(s: str) -> int:
 
 
 def email(value: str, key: bytes, back: bool = False) -> str | None:
-    """Letters and digits of the local part are permuted within their kinds; the domain stays."""
+    """Letters and digits of the local part are permuted within their kinds (Latin-1 letters too); the domain stays."""
     local, domain = value.rsplit("@", 1)
     return f"{_symbols(local, key, 'email' + domain.lower(), back)}@{domain}"
 
 
+#: Kinds of characters that are permuted among themselves; others stay.
+ALPHABETS = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "".join(chr(i) for i in range(0xDF, 0x100) if i != 0xF7), "".join(chr(i) for i in range(0xC0, 0xDF) if i != 0xD7),
+)
+_PLACE = {c: (alphabet, i) for alphabet in ALPHABETS for i, c in enumerate(alphabet)}
+
+
 def _symbols(s: str, key: bytes, tweak: str, back: bool) -> str:
-    """Permute a string among all that have digits, small and capital letters in the same places."""
-    radix = [10 if c in "0123456789" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in s]
-    value, size = 0, 1
-    for c, r in zip(s, radix, strict=True):
-        if r > 1:
-            value = value * r + (int(c) if r == 10 else ord(c.lower()) - 97)
-            size *= r
-    shape = "".join("9" if r == 10 else ("a" if c.islower() else "A") if r == 26 else c for c, r in zip(s, radix, strict=True))
-    value = feistel(value, size, key, f"{tweak}|{shape}".encode(), back)
+    """Permute a string among all that have characters of the same kinds in the same places."""
+    value, size, shape = 0, 1, []
+    for c in s:
+        alphabet, i = _PLACE.get(c, (c, 0))
+        value, size = value * len(alphabet) + i, size * len(alphabet)
+        shape.append(alphabet[0])
+    value = feistel(value, size, key, f"{tweak}|{''.join(shape)}".encode(), back)
     out = []
-    for c, r in zip(reversed(s), reversed(radix), strict=True):
-        if r == 1:
-            out.append(c)
-            continue
-        value, x = divmod(value, r)
-        out.append(str(x) if r == 10 else chr((97 if c.islower() else 65) + x))
+    for c in reversed(s):
+        alphabet, _ = _PLACE.get(c, (c, 0))
+        value, i = divmod(value, len(alphabet))
+        out.append(alphabet[i])
     return "".join(reversed(out))
 
 
