@@ -40,7 +40,7 @@ from quern.llm._text import mix, slices, words
 from quern.runtime import small, stage
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Members up to which a bucket's pairs are listed; larger buckets go through the differences to a root.
 PAIRS_UP_TO = 32
 
