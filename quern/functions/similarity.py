@@ -31,29 +31,89 @@ def ratio_text(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total if total else 100.0
 
 
-@F.pandas_udf(DoubleType())
-def _long_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio_text(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def token_set_text(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, da, db = (" ".join(sorted(z)) for z in (x & y, x - y, y - x))
+    if both and (not da or not db):
+        return 100.0
+    with_a, with_b = f"{both} {da}".strip(), f"{both} {db}".strip()
+    best = ratio_text(with_a, with_b)
+    return max(best, ratio_text(both, with_a), ratio_text(both, with_b)) if both else best
+
+
+def token_sort_text(a: str, b: str) -> float:
+    return ratio_text(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def _pairs(f) -> object:
+    """An Arrow UDF of two string columns; null where either is null."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for p in zip(a, b, strict=True):
+            if p[0] is None or p[1] is None:
+                out.append(None)
+                continue
+            if p not in known:
+                known[p] = f(*p)
+            out.append(known[p])
+        return pd.Series(out, dtype="float64")
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, DoubleType())
+
+
+_long_ratio, _long_token_set, _long_token_sort = _pairs(ratio_text), _pairs(token_set_text), _pairs(token_sort_text)
+
+
+def let(f, **values: Column) -> Column:
+    """``f`` of a struct of the values: each is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), F.lit(0))
 
 
 def _lcs(short: Column, long: Column) -> Column:
     """Bit-parallel common subsequence in a bigint; the shorter side has at most 62 characters."""
-    chars = F.filter(F.split(short, ""), lambda x: x != "")
-    every = F.shiftleft(F.lit(1).cast("bigint"), F.length(short)) - 1
+    zero = F.lit(0).cast("bigint")
+
+    def bits(chars: Column, c: Column) -> Column:
+        return F.aggregate(F.reverse(chars), zero, lambda acc, x: acc * 2 + F.when(x == c, F.expr("1L")).otherwise(zero))
+
+    def count(v: Column) -> Column:
+        def step(state: Column, ch: Column) -> Column:
+            return let(lambda r: (r["s"] + r["h"]).bitwiseOR(r["s"] - r["h"]).bitwiseAND(v["every"]), s=state, h=state.bitwiseAND(F.coalesce(F.try_element_at(v["where"], ch), zero)))
+
+        return (v["n"] - F.bit_count(F.aggregate(F.filter(F.split(long, ""), lambda x: x != ""), v["every"], step))).cast("double")
 
-    def bits(c: Column) -> Column:
-        hits = F.transform(chars, lambda x, i: F.when(x == c, F.expr("1L")).otherwise(F.lit(0).cast("bigint")))
-        return F.aggregate(F.reverse(hits), F.lit(0).cast("bigint"), lambda acc, x: acc * 2 + x)
+    def masks(v: Column) -> Column:
+        distinct = F.array_distinct(v["chars"])
+        every = F.call_function("shiftleft", F.expr("1L"), F.size(v["chars"])) - 1
+        return let(count, where=F.map_from_arrays(distinct, F.transform(distinct, lambda c: bits(v["chars"], c))), every=every, n=F.size(v["chars"]))
 
-    distinct = F.array_distinct(chars)
-    where = F.map_from_arrays(distinct, F.transform(distinct, bits))
+    return let(masks, chars=F.filter(F.split(short, ""), lambda x: x != ""))
 
-    def step(state: Column, ch: Column) -> Column:
-        hit = state.bitwiseAND(F.coalesce(F.try_element_at(where, ch), F.lit(0).cast("bigint")))
-        return (state + hit).bitwiseOR(state - hit).bitwiseAND(every)
 
-    left = F.aggregate(F.filter(F.split(long, ""), lambda x: x != ""), every, step)
-    return (F.length(short) - F.bit_count(left)).cast("double")
+def _ratio(a: Column, b: Column) -> Column:
+    """Indel ratio of two strings, null if the shorter one has more than 62 characters."""
+
+    def sized(v: Column) -> Column:
+        total = F.length(v["s"]) + F.length(v["t"])
+        value = F.lit(200.0) * _lcs(v["s"], v["t"]) / F.greatest(total, F.lit(1))
+        return F.when(total == 0, F.lit(100.0)).when(F.length(v["s"]) <= LONGEST, value)
+
+    def ordered(v: Column) -> Column:
+        first = F.length(v["a"]) <= F.length(v["b"])
+        return let(sized, s=F.when(first, v["a"]).otherwise(v["b"]), t=F.when(first, v["b"]).otherwise(v["a"]))
+
+    return let(ordered, a=a, b=b)
+
+
+def _with_long(a: Column, b: Column, value: Column, udf, long: bool) -> Column:
+    fits = F.least(F.length(a), F.length(b)) <= LONGEST
+    out = F.when(fits, value)
+    return out.otherwise(udf(F.when(~fits, a), F.when(~fits, b))) if long else out
 
 
 def ratio(a: Column, b: Column, long: bool = False) -> Column:
@@ -61,33 +121,35 @@ def ratio(a: Column, b: Column, long: bool = False) -> Column:
 
     ``long`` adds an Arrow UDF for pairs whose shorter side exceeds 62 characters (such pairs are null without it).
     """
-    short, other = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    fits = F.length(short) <= LONGEST
-    safe = F.when(fits, short).otherwise(F.lit(""))
-    value = F.lit(200.0) * _lcs(safe, other) / F.greatest(F.length(a) + F.length(b), F.lit(1))
-    out = F.when((a == "") & (b == ""), F.lit(100.0)).when(fits, value)
-    if long:
-        out = out.otherwise(_long_ratio(F.when(~fits, a), F.when(~fits, b)))
-    return out
+    return _with_long(a, b, _ratio(a, b), _long_ratio, long)
 
 
 def token_sort_ratio(a: Column, b: Column, long: bool = False) -> Column:
-    return ratio(*(F.array_join(F.array_sort(tokens(x)), " ") for x in (a, b)), long=long)
+    return _with_long(a, b, _ratio(*(F.array_join(F.array_sort(tokens(x)), " ") for x in (a, b))), _long_token_sort, long)
 
 
 def token_set_ratio(a: Column, b: Column, long: bool = False) -> Column:
     """Best ratio among the common tokens and the common tokens with each side's rest."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
     join = lambda c: F.array_join(F.array_sort(c), " ")
-    both, da, db = join(F.array_intersect(x, y)), join(F.array_except(x, y)), join(F.array_except(y, x))
-    with_a, with_b = (F.when(both == "", d).when(d == "", both).otherwise(F.concat(both, F.lit(" "), d)) for d in (da, db))
-    full = ratio(with_a, with_b, long)
-    # the common tokens are a prefix of the other string, so that ratio needs no common subsequence
-    part = lambda w: F.lit(200.0) * F.length(both) / F.greatest(F.length(both) + F.length(w), F.lit(1))
-    return (
-        F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when((both != "") & ((da == "") | (db == "")), F.lit(100.0))
-        .when(both == "", full).otherwise(F.greatest(full, part(with_a), part(with_b)))
-    )
+
+    def best(v: Column) -> Column:
+        full = _ratio(v["wa"], v["wb"])
+        # the common tokens are a prefix of the other string, so that ratio needs no common subsequence
+        part = lambda w: F.lit(200.0) * F.length(v["both"]) / F.greatest(F.length(v["both"]) + F.length(w), F.lit(1))
+        return F.when(v["both"] == "", full).otherwise(F.greatest(full, part(v["wa"]), part(v["wb"])))
+
+    def joined(v: Column) -> Column:
+        with_a, with_b = (F.when(v["both"] == "", v[d]).otherwise(F.concat(v["both"], F.lit(" "), v[d])) for d in ("da", "db"))
+        done = (v["both"] != "") & ((v["da"] == "") | (v["db"] == ""))
+        return F.when(done, F.lit(100.0)).otherwise(let(best, both=v["both"], wa=with_a, wb=with_b))
+
+    def split(v: Column) -> Column:
+        none = (F.size(v["x"]) == 0) | (F.size(v["y"]) == 0)
+        parts = {"both": F.array_intersect(v["x"], v["y"]), "da": F.array_except(v["x"], v["y"]), "db": F.array_except(v["y"], v["x"])}
+        return F.when(none, F.lit(0.0)).otherwise(let(joined, **{k: join(c) for k, c in parts.items()}))
+
+    value = let(split, x=F.array_distinct(tokens(a)), y=F.array_distinct(tokens(b)))
+    return _with_long(a, b, value, _long_token_set, long)
 
 
 def partial_text(a: str, b: str) -> float:
@@ -136,23 +198,6 @@ def jaro_winkler_text(a: str, b: str, weight: float = 0.1, boost_from: float = 0
     return jaro + prefix * weight * (1 - jaro) if jaro > boost_from else jaro
 
 
-def _pairs(f) -> object:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for p in zip(a, b, strict=True):
-            if p[0] is None or p[1] is None:
-                out.append(None)
-                continue
-            if p not in known:
-                known[p] = f(*p)
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
-
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, DoubleType())
-
-
 partial_ratio = _pairs(partial_text)
 jaro_winkler = _pairs(jaro_winkler_text)
 

@@ -19,8 +19,15 @@ from quern.sources import adapter
 NORM = f"WITH {Q.NORM}"
 
 
+_normalized: dict[tuple[str, str], DataFrame] = {}
+
+
 def normalized(spark: SparkSession, d: str) -> DataFrame:
-    return X.normalize(adapter.records(spark, d))
+    """The normalised records, written once per session and table folder: a stage table that the other steps start from."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _normalized:
+        _normalized[key] = stage(X.normalize(adapter.records(spark, d)))
+    return _normalized[key]
 
 
 # blocking
@@ -199,7 +206,7 @@ PAIRED = f"{NORM}, {pairs_sql('first')}, pr AS (SELECT p.s1, p.m, " + ", ".join(
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
-    rec = stage(normalized(spark, d))
+    rec = normalized(spark, d)
     return features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"]), LIMIT), rec)
 
 
@@ -297,7 +304,7 @@ IDF = (
     "SELECT pr.s1, pr.m, round(CASE WHEN a > 0 AND b > 0 THEN i / a ELSE 0.0 END, 6) AS nm_idf_cov_l, round(CASE WHEN a > 0 AND b > 0 THEN i / u ELSE 0.0 END, 6) AS nm_idf_jac, round(CASE WHEN a > 0 AND b > 0 THEN i / b ELSE 0.0 END, 6) AS nm_idf_cov_r FROM pr LEFT JOIN g ON pr.s1 = g.s1 AND pr.m = g.m"
 )
 def idf_overlap(spark: SparkSession, d: str) -> DataFrame:
-    rec = stage(normalized(spark, d))
+    rec = normalized(spark, d)
     idf = stage(features.token_idf(features.idf_texts(rec)))
     pairs = features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"]), LIMIT), features.with_idf_map(rec, idf))
     f = features.idf_features(F.lit(idf.agg(F.max("idf")).first()[0]))
@@ -313,7 +320,7 @@ def alias_domain(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
-    rec = stage(normalized(spark, d))
+    rec = normalized(spark, d)
     cand = stage(retrieval.candidates(rec, k=5, k_reverse=2))
     return features.pair_features(cand, rec)
 
@@ -491,7 +498,7 @@ def describe_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pair_similarities(spark: SparkSession, d: str) -> DataFrame:
-    rec = stage(normalized(spark, d))
+    rec = normalized(spark, d)
     truth = adapter.true_pairs(spark, d)
     sides = [rec.select(F.col("entity_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in rec.columns if c not in ("entity_id", "doc_id")]) for k, p in (("s1", "l"), ("m", "r"))]
     pairs = profile.pair_similarities(truth.select("s1", "m").join(sides[0], "s1").join(sides[1], "m"))

@@ -76,7 +76,7 @@ def test_learned_dictionaries(spark):
 
 
 def test_invariants(spark):
-    rec = stage(normalized(spark, SF))
+    rec = normalized(spark, SF)
     cand = stage(retrieval.candidates(rec))
     assert cand.groupBy("s1", "m").count().filter("count > 1").count() == 0
     src = cand.filter(~(F.col("s1").startswith("S1-") & (F.col("m").startswith("S2-") | F.col("m").startswith("S3-"))))
@@ -91,7 +91,7 @@ def test_invariants(spark):
 
 
 def test_features_and_two_pass_model(spark, tmp_path):
-    rec = stage(normalized(spark, SF))
+    rec = normalized(spark, SF)
     truth = adapter.true_pairs(spark, SF)
     cand = stage(retrieval.candidates(rec, k=5, k_reverse=2))
     f = features.labelled(features.pair_features(cand, rec), truth)
