@@ -41,8 +41,8 @@ from quern.llm._text import slices, words
 from quern.runtime import stage
 
 STATES, CLASSES, WARM, FULL, ALPHA = 8, 2048, 6, 2, 0.1
-#: Text bytes of a block, and tokens whose forward variables are held at once.
-BLOCK_BYTES, LATTICE = 24 << 20, 400_000
+#: Text bytes of a block, tokens whose forward variables are held at once, tokens that are sorted by length together.
+BLOCK_BYTES, LATTICE, GATHER = 20 << 20, 500_000, 4_000_000
 
 DOC_SCHEMA = "block long, doc_id long, part int, tokens binary, classes binary, word string, number int, class int, n long"
 
@@ -106,60 +106,71 @@ class Model:
 
 
 def lattice(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts by falling length: their order, all their class codes with the end code last, and where each text begins."""
+    """Texts by falling length: their order; all class codes, end code last, place by place (all first tokens, then all
+    second ones, ...); and how many texts have a token at each place.
+
+    The texts that have a token at a place are the first ones, so every step of a recursion works on slices.
+    """
     lengths = np.array([len(c) + 1 for c in classes], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([np.append(classes[i], 0) for i in order]).astype(np.int64) if len(classes) else np.zeros(0, dtype=np.int64)
-    begin = np.concatenate(([0], np.cumsum(lengths[order])))
-    return order, flat, begin
-
-
-def forward(model: Model, flat: np.ndarray, begin: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Log likelihoods of the texts; with ``keep`` the scaled forward variables and scales of all tokens."""
-    n = len(begin) - 1
-    lengths = np.diff(begin)
-    emit = np.ascontiguousarray(model.emit.T)
-    logs = np.zeros(n)
-    k = len(model.start)
-    alphas = np.empty((len(flat), k)) if keep else None
-    scales = np.empty(len(flat)) if keep else None
-    live, alpha = n, None
-    for t in range(int(lengths[0]) if n else 0):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        at = begin[:live] + t
-        b = emit[flat[at]]
-        alpha = model.start * b if t == 0 else (alpha[:live] @ model.move) * b
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        logs[:live] += np.log(scale)
-        if keep:
-            alphas[at], scales[at] = alpha, scale
-    return logs, alphas, scales
-
-
-def expected(model: Model, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    sorted_ = lengths[order]
+    live = np.searchsorted(-sorted_, -np.arange(int(sorted_[0]) if len(sorted_) else 0), side="left")
+    begin = np.concatenate(([0], np.cumsum(live)))
+    flat = np.zeros(int(lengths.sum()), dtype=np.int64)
+    for rank, i in enumerate(order.tolist()):
+        flat[begin[: len(classes[i])] + rank] = classes[i]
+    return order, flat, live
+
+
+def forward(model: Model, flat: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """Log likelihoods of the texts; with ``keep`` the scaled forward variables and emission probabilities of all tokens;
+    the scales."""
+    kind = np.float32 if keep else np.float64
+    b = np.ascontiguousarray(model.emit.T, dtype=kind)[flat]
+    alphas = np.empty_like(b) if keep else b
+    scales = np.empty(len(flat), dtype=kind)
+    move, start = model.move.astype(kind), model.start.astype(kind)
+    s, before = 0, None
+    for n in live.tolist():
+        alpha, scale = alphas[s : s + n], scales[s : s + n]
+        if before is None:
+            np.multiply(start, b[:n], out=alpha)
+        else:
+            np.multiply(before[:n] @ move, b[s : s + n], out=alpha)
+        np.sum(alpha, axis=1, out=scale)
+        alpha /= scale[:, None]
+        s, before = s + n, alpha
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(live) - live, live)
+    logs = np.bincount(rank, weights=np.log(scales), minlength=int(live[0]) if len(live) else 0)
+    return logs, alphas if keep else None, b if keep else None, scales
+
+
+def expected(model: Model, flat: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch's expected counts of starts, moves and emissions, and the log likelihood."""
-    logs, alphas, scales = forward(model, flat, begin, True)
-    n, lengths, k = len(begin) - 1, np.diff(begin), len(model.start)
-    emit = np.ascontiguousarray(model.emit.T)
-    move = np.zeros((k, k))
-    gamma = alphas
-    beta = np.zeros((n, k))
-    for t in range(int(lengths[0]) - 1 if n else -1, -1, -1):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        ends = int(np.searchsorted(-lengths, -(t + 1), side="left"))  # texts that go on after t
-        at = begin[:live] + t
-        now = np.ones((live, k))
+    logs, alphas, x, scales = forward(model, flat, live, True)
+    states, width = model.emit.shape
+    back = np.ascontiguousarray(model.move.T, dtype=np.float32)
+    gamma = np.empty_like(alphas)
+    stop, after, ends = len(flat), None, 0
+    for n in live[::-1].tolist():
+        s = stop - n
+        beta = np.ones((n, states), dtype=np.float32)
         if ends:
-            after = begin[:ends] + t + 1
-            x = emit[flat[after]] * beta[:ends] / scales[after][:, None]
-            move += alphas[at[:ends]].T @ x
-            now[:ends] = x @ model.move.T
-        beta[:live] = now
-        # alphas of t aren't needed any more once the moves from t are counted
-        gamma[at] = gamma[at] * now
-    counts = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=emit.shape[0]) for j in range(k)])
-    return gamma[begin[:-1]].sum(0), move * model.move, counts, float(logs.sum())
+            np.matmul(x[stop : stop + ends], back, out=beta[:ends])
+        np.multiply(alphas[s:stop], beta, out=gamma[s:stop])
+        # what the place before needs: emission times backward variable over scale
+        here = x[s:stop]
+        here *= beta
+        here /= scales[s:stop, None]
+        stop, ends = s, n
+    first = int(live[0]) if len(live) else 0
+    move = np.zeros((states, states))
+    # each token after the first place, and the token before it
+    previous = np.arange(first, len(flat)) - np.repeat(live[:-1], live[1:]) if len(live) > 1 else np.zeros(0, dtype=np.int64)
+    for a in range(0, len(previous), 100_000):
+        move += alphas[previous[a : a + 100_000]].T.astype(np.float64) @ x[first + a : first + a + 100_000]
+    counts = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=width) for j in range(states)])
+    return gamma[:first].sum(0, dtype=np.float64), move * model.move, counts, float(logs.sum())
 
 
 def _groups(codes: list[np.ndarray]) -> Iterator[list[int]]:
@@ -176,6 +187,19 @@ def _groups(codes: list[np.ndarray]) -> Iterator[list[int]]:
         yield group
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Class codes of the texts of several batches together, GATHER tokens or so, for groups of like length."""
+    codes, total = [], 0
+    for batch in slices(batches, "classes", 2 * GATHER):
+        codes += [np.frombuffer(x, dtype="<u2") for x in batch.column("classes").to_pylist()]
+        total += sum(map(len, codes[-batch.num_rows :]))
+        if total >= GATHER:
+            yield codes
+            codes, total = [], 0
+    if codes:
+        yield codes
+
+
 def baum_welch(rows: DataFrame, share: np.ndarray, states: int, warm: int, full: int) -> Model:
     """Fit on the training rows (part > 0; classes): warm rounds take one part each, the others all."""
     spark = rows.sparkSession
@@ -187,11 +211,9 @@ def baum_welch(rows: DataFrame, share: np.ndarray, states: int, warm: int, full:
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m = Model(*sent.value)
             sums: list[np.ndarray] | None = None
-            for batch in slices(batches, "classes", 4 * LATTICE):
-                codes = [np.frombuffer(x, dtype="<u2") for x in batch.column("classes").to_pylist()]
+            for codes in _gathered(batches):
                 for group in _groups(codes):
-                    _, flat, begin = lattice([codes[i] for i in group])
-                    got = expected(m, flat, begin)
+                    got = expected(m, *lattice([codes[i] for i in group])[1:])
                     sums = list(got[:3]) if sums is None else [a + b for a, b in zip(sums, got[:3], strict=True)]
             if sums is not None:
                 flat = np.concatenate([x.ravel() for x in sums])
@@ -297,8 +319,8 @@ def score(
         logs = np.zeros(len(tokens_of))
         codes = [cls[t] for t in tokens_of]
         for group in _groups(codes):
-            order, flat, begin = lattice([codes[i] for i in group])
-            logs[np.array(group)[order]] = forward(m, flat, begin, False)[0] / np.log(10)
+            order, flat, live = lattice([codes[i] for i in group])
+            logs[np.array(group)[order]] = forward(m, flat, live, False)[0] / np.log(10)
         sums = np.array([(len(t) + 1, (c[t] > 0).sum() + (in_[0] > 0), base[t].sum() + base_of_end, inside[t].sum()) for t in tokens_of]).reshape(-1, 4)
         return pa.table({
             "doc_id": documents.column("doc_id"), "part": documents.column("part"),
