@@ -264,5 +264,5 @@ def normalize(df: DataFrame, native_token: Column | None = None, native_state: C
 
 def s1_state(c: Column) -> Column:
     """The code of the first comma component that is a state's name, else null."""
-    parts = F.transform(F.split(romanize(F.coalesce(c, F.lit(""))), ","), F.btrim)
+    parts = F.transform(F.split(romanize(F.coalesce(c, F.lit(""))), ","), lambda x: F.btrim(x))
     return F.get(F.filter(F.transform(parts, lambda x: F.try_element_at(lookup(T.STATES), x)), lambda x: x.isNotNull()), F.lit(0))

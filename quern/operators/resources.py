@@ -15,7 +15,7 @@ STATE_COUNT, STATE_PURITY, TOKEN_COUNT, TOKEN_PURITY = 5, 0.8, 3, 0.6
 def learn_states(pairs: DataFrame, min_count: int = STATE_COUNT, min_purity: float = STATE_PURITY) -> DataFrame:
     """(key, value): native address component to state code, from pairs (s1_addr, m_addr)."""
     rows = pairs.filter(F.col("m_addr").rlike(T.INDIC)).withColumn("value", s1_state(F.col("s1_addr"))).filter("value is not null")
-    parts = rows.select("value", F.explode(F.transform(F.split("m_addr", ","), F.btrim)).alias("key")).filter(F.col("key").rlike(T.INDIC))
+    parts = rows.select("value", F.explode(F.transform(F.split("m_addr", ","), lambda x: F.btrim(x))).alias("key")).filter(F.col("key").rlike(T.INDIC))
     return majority(parts.groupBy("key", "value").agg(F.count("*").alias("n")), "key", "value", "n", min_count, min_purity).select("key", "value")
 
 

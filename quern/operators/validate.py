@@ -19,7 +19,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     rows = lines.filter(F.btrim("value") != "")
     tab = F.instr("value", "\t") > 0
     s1 = F.btrim(F.split_part("value", F.lit("\t"), F.lit(1)))
-    ids = F.transform(parse_id_list(F.split_part("value", F.lit("\t"), F.lit(2))), F.btrim)
+    ids = F.transform(parse_id_list(F.split_part("value", F.lit("\t"), F.lit(2))), lambda x: F.btrim(x))
     return rows.select(F.when(tab, s1).otherwise(F.col("value")).alias("s1"), F.when(tab, F.filter(ids, lambda x: x != "")).otherwise(F.array().cast("array<string>")).alias("ids"), (~tab).alias("malformed"))
 
 

@@ -377,20 +377,20 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
     return metrics.truth_counts(s1, truth)
 
 
-@query(f"{CURVE} SELECT threshold, round(avg({F05}), 5) AS macro_f05 FROM e GROUP BY 1")
+@query(f"{CURVE} SELECT threshold, round(avg({F05}), 6) AS macro_f05 FROM e GROUP BY 1")
 def f05_curve(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.f05_curve(scored(spark, d), counted(spark, d)).withColumn("macro_f05", F.round("macro_f05", 5))
+    return metrics.f05_curve(scored(spark, d), counted(spark, d))
 
 
-@query(f"{CURVE}, c AS (SELECT threshold, round(avg({F05}), 6) AS macro_f05 FROM e GROUP BY 1) SELECT threshold, round(macro_f05, 5) AS macro_f05 FROM c ORDER BY c.macro_f05 DESC, threshold LIMIT 1")
+@query(f"{CURVE}, c AS (SELECT threshold, round(avg({F05}), 6) AS macro_f05 FROM e GROUP BY 1) SELECT threshold, macro_f05 FROM c ORDER BY c.macro_f05 DESC, threshold LIMIT 1")
 def best_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.best_threshold(metrics.f05_curve(scored(spark, d), counted(spark, d))).withColumn("macro_f05", F.round("macro_f05", 5))
+    return metrics.best_threshold(metrics.f05_curve(scored(spark, d), counted(spark, d)))
 
 
-@query(f"{CURVE} SELECT brand, threshold, round(avg({F05}), 5) AS macro_f05 FROM e WHERE threshold = 0.5 GROUP BY 1, 2")
+@query(f"{CURVE} SELECT brand, threshold, round(avg({F05}), 6) AS macro_f05 FROM e WHERE threshold = 0.5 GROUP BY 1, 2")
 def f05_by_country(spark: SparkSession, d: str) -> DataFrame:
     brand = table(spark, d, "part").select(F.col("p_partkey").alias("s1"), F.col("p_brand").alias("brand"))
-    return metrics.f05_curve(scored(spark, d), counted(spark, d).join(brand, "s1"), (0.5,), "brand").withColumn("macro_f05", F.round("macro_f05", 5))
+    return metrics.f05_curve(scored(spark, d), counted(spark, d).join(brand, "s1"), (0.5,), "brand")
 
 
 @query(f"{OWNERS} SELECT count(*) AS n_kept, CAST(coalesce(sum(label), 0) AS BIGINT) AS n_right FROM own WHERE p >= 0.5")
