@@ -119,11 +119,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     many = min(4096, 2 * partitions(docs.sparkSession))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = successors(with_spots(rows, "text", "spots"), ["text", "spots"], many)
+    # signatures come after the shuffle: computing the successor's once more is cheaper than moving all of them
+    rows = successors(rows, ["text"], many)
     rows = rows.withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half), F.substr("next_text", F.lit(1), half)))
-    rows = with_spots(rows.drop("text", "next_text"), "edited", "edited_spots")
+    for text, out in (("text", "spots"), ("next_text", "next_spots"), ("edited", "edited_spots")):
+        rows = with_spots(rows, text, out)
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint("spots").alias("fingerprint"), fingerprint("edited_spots").alias("edited_fingerprint"),
