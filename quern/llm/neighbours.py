@@ -7,8 +7,8 @@ within e_q + e_c + e_q e_c of the tile's value. A query's k-th largest lower bou
 its heap already holds, rule out all candidates whose upper bound is smaller; the others are computed in double precision
 on the original vectors and go through the query's heap. A last step merges the heaps of all tasks.
 
-Candidate blocks are dealt out once per group of query blocks; tiles are (query group, candidate block) rows of one
-join on the group number, so no task holds more than one query group and one candidate block at a time.
+Tiles are dealt out by query block and group of candidate blocks, so a task holds one query block and a few candidate
+blocks at a time, and its heaps pass over the tiles of the group.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite numbers take no part, neither as queries nor as
 candidates; only vectors of equal length are compared; equal vec_ids are rows of their own, and a query's own id is no
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from quern.runtime import partitions, stage
 
 QUERY_BLOCK, CANDIDATE_BLOCK, EACH = 512, 4096, 5
-RESULT = "query_id long, vec_id long, score double"
+#: Candidate blocks, on average, that one task holds beside a query block.
+TOGETHER = 8
 
 
 def usable(vector: str) -> Column:
@@ -39,7 +40,7 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def packed(vectors: DataFrame, block: int, seed: int) -> DataFrame:
+def packed(vectors: DataFrame, block: int) -> DataFrame:
     """Blocks of at most ``block`` vectors of one length: block, dim, ids and vectors as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,35 +120,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = EACH, query_block: in
     """query_id, rank, vec_id, score: the k nearest of each query among all other rows of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     clean = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable("embedding"))
-    queries = stage(packed(clean.filter(is_query).repartition(max(1, min(8, partitions(spark)))), query_block, 0))
-    candidates = stage(packed(clean, candidate_block, 1))
+    queries = stage(packed(clean.filter(is_query).repartition(max(1, min(8, partitions(spark)))), query_block))
+    candidates = stage(packed(clean, candidate_block))
     # every candidate block meets every query block of its dimension: a stated query set against all rows
     q = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     tiles = q.join(candidates.select("dim", "block"), "dim").select("dim", "q_block", "block")
-    tiles = tiles.repartition(partitions(spark), "q_block", "block")
-    work = tiles.join(q.drop("dim"), "q_block").join(candidates.drop("dim"), "block").sortWithinPartitions("block", "q_block")
+    # a query block and a few candidate blocks make a group, so a task's memory is bounded whatever the table's size
+    groups = max(1, candidates.count() // TOGETHER)
+    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    work = tiles.join(q.drop("dim"), "q_block").join(candidates.drop("dim"), "block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         heaps: dict[tuple[int, int], list] = {}
-        kept_q: dict[int, tuple] = {}
-        last_c: tuple[int, tuple] | None = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if row["q_block"] not in kept_q:
-                    if len(kept_q) >= 8:
-                        kept_q.clear()
-                    ids, x = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dim)
-                    kept_q[row["q_block"]] = (row["q_block"] * query_block + np.arange(len(ids)), ids, x, *quantised(x))
-                if last_c is None or last_c[0] != row["block"]:
-                    ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
-                    last_c = (row["block"], (ids, x, *quantised(x)))
-                tile(kept_q[row["q_block"]], last_c[1], k, heaps)
+        dim, q_block = table.column("dim")[0].as_py(), table.column("q_block")[0].as_py()
+        ids, x = np.frombuffer(table.column("q_ids")[0].as_py(), "<i8"), np.frombuffer(table.column("q_vectors")[0].as_py(), "<f8").reshape(-1, dim)
+        query = (q_block * query_block + np.arange(len(ids)), ids, x, *quantised(x))
+        for i in np.argsort(table.column("block").to_numpy()).tolist():
+            ids, x = np.frombuffer(table.column("ids")[i].as_py(), "<i8"), np.frombuffer(table.column("vectors")[i].as_py(), "<f8").reshape(-1, dim)
+            tile(query, (ids, x, *quantised(x)), k, heaps)
         rows = [(q, r, -i, s) for (q, r), heap in heaps.items() for s, i in heap]
         cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], names=["query_id", "query_row", "vec_id", "score"])
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "query_row": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
 
-    best = work.select("dim", "q_block", "q_ids", "q_vectors", "block", "ids", "vectors").mapInArrow(run, "query_id long, query_row long, vec_id long, score double")
+    best = work.select("dim", "q_block", "part", "q_ids", "q_vectors", "block", "ids", "vectors").groupBy("q_block", "part").applyInArrow(run, "query_id long, query_row long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
