@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,24 @@ import pyarrow.compute as pc
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What operators remember between the tasks of a Python worker.
+CACHES: list[dict] = []
+
+
+def trim() -> None:
+    """Give free memory back: Spark reuses Python workers, and what they keep counts against the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def fresh() -> None:
+    """Drop what other operators remember, and give the memory back."""
+    for cache in CACHES:
+        cache.clear()
+    trim()
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the word number of each token, and the tokens of each text (null: none).
 

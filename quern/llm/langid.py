@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._text import slices
+from quern.llm._text import fresh, slices
 from quern.runtime import small, stage
 
 MAX_TRAIN, MAX_LANDMARKS, MAX_CHARS, RIDGE, ALPHABET = 2400, 192, 20_000, 0.01, 160
@@ -159,6 +159,7 @@ def identify(
     names = [*docs.columns, pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         m = sent.value
         for big in slices(batches, "text", BLOCK_BYTES):
             for a in range(0, big.num_rows, BLOCK_TEXTS):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._text import mix, slices, words
+from quern.llm._text import fresh, mix, slices, words
 from quern.runtime import small, stage
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
@@ -100,6 +100,7 @@ def profile(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest (two longs), bands (keys; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in slices(batches, "text", BLOCK_BYTES):
             h, owner, per, digests, _ = shingles(batch.column("text"), k)
             n = batch.num_rows
@@ -121,6 +122,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, shingles: the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in slices(batches, "text", BLOCK_BYTES):
             h, _, per, _, _ = shingles(batch.column("text"), k)
             stops = np.cumsum(per)

@@ -15,6 +15,7 @@ pieces; a text longer than a block is a block of its own; an empty table gives n
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,17 +26,18 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quern.llm._text import slices, words
+from quern.llm._text import CACHES, slices, trim, words
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 256, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text that are tokenised and packed together, and pieces that compete for a bin.
-BLOCK_BYTES, POOL = 16 << 20, 1024
+BLOCK_BYTES, POOL = 3 << 20, 1024
 #: Words whose ids a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 250_000
 #: A word that ends in a Latin letter or digit and a run of ASCII punctuation.
 CORE_AND_TAIL = r"^(?P<core>[^'<]*[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])(?P<tail>[.,!#$%&*?;:\"|)]+)$"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -138,13 +140,19 @@ class Packer:
 def gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[at : at + n], one after the other; and where each run ends."""
     stop = np.cumsum(n)
-    return flat[np.repeat(at - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)], stop
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    where = np.repeat((at - (stop - n)).astype(kind), n)
+    where += np.arange(total, dtype=kind)
+    return flat[where], stop
 
 
 class Ids:
     """Ids of words by a tokenizer that splits at white space; a bounded number of words is remembered."""
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library would only add memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
@@ -154,15 +162,15 @@ class Ids:
         self.number: dict[str, int] = {}
         self.flat, self.stop = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def __call__(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, vocabulary: list[str], remember: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word begin in ``flat``, and how many they are."""
         new = [w for w in vocabulary if w not in self.number]
-        if self.number and len(self.number) + len(new) > REMEMBER:
+        if self.number and len(self.number) + len(new) > remember:
             self.forget()
             new = vocabulary
         flats, stops = [self.flat], [self.stop]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), 2000):
+            part = new[a : a + 2000]
             ids = [e.ids for e in self.of.encode_batch_fast(part, add_special_tokens=False)]
             n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             flats.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(n.sum())))
@@ -174,9 +182,10 @@ class Ids:
 
 
 _ids: dict[str, Ids] = {}
+CACHES.append(_ids)
 
 
-def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, path: str, remember: int = REMEMBER) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each text's ids followed by END_ID; and the number of ids of each text.
 
     The tokenizer lowers case, replaces white space by single spaces and drops it between words, so texts are cut at
@@ -193,7 +202,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     tail = pc.coalesce(pc.struct_field(parts, "tail"), pa.scalar(""))
     core = pc.if_else(pc.match_substring(core, "<|"), core, pc.ascii_lower(core))
     both = pa.concat_arrays([core.cast(pa.string()), tail.cast(pa.string())]).dictionary_encode()
-    at, n = encode(both.dictionary.to_pylist())
+    at, n = encode(both.dictionary.to_pylist(), remember)
     code = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
     flat, stop = gather(encode.flat, at[code], n[code])
     stop = stop[1::2]
@@ -212,21 +221,29 @@ def pack(
     max_tokens: int = MAX_TOKENS,
     max_segments: int = MAX_SEGMENTS,
     max_loss: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    remember: int = REMEMBER,
+    batch_rows: int | None = 2000,
 ) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text): every id lies in exactly one piece of one sequence.
 
     ``tokenizer`` is a path, or by default the name of a public tokenizer that each executor looks up for itself. For
-    plain documents all ids bear loss.
+    plain documents all ids bear loss. ``block_bytes`` and ``remember`` trade memory for time; ``batch_rows`` lowers the
+    session's Arrow batches, which by default hold 10,000 whole texts, tens of MB on both sides of the socket.
     """
     limits = (max_tokens, max_segments, max_loss or max_tokens)
+    conf = docs.sparkSession.conf
+    if batch_rows and int(conf.get(BATCH_ROWS)) > batch_rows:
+        conf.set(BATCH_ROWS, str(batch_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
+        trim()
         path = tokenizer or public_tokenizers.path(TOKENIZER)
         first = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", BLOCK_BYTES):
-            ids, lengths = token_ids(batch.column("text"), path)
+        for batch in slices(batches, "text", block_bytes):
+            ids, lengths = token_ids(batch.column("text"), path, remember)
             packer = Packer(lengths, None, limits)
             packer.run()
             got = np.array(packer.out, dtype=np.int64).reshape(-1, 5)
@@ -239,5 +256,6 @@ def pack(
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
             first += packer.n
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

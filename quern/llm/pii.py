@@ -28,6 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quern.llm._text import fresh
+
 KEY = b"quern test key"
 ROUNDS = 8
 KINDS = ("card", "iban", "date", "ip", "ssn", "phone", "email")
@@ -248,6 +250,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             texts = batch.column("text")
             maybe = pc.fill_null(pc.match_substring_regex(texts, _MAYBE), False).to_numpy(zero_copy_only=False)
