@@ -7,9 +7,12 @@ permuted within its format: digits stay digits, letters letters, separators stay
 stay dates of the same form, octets stay octets. The permutation is a Feistel network over two halves of the value's
 number space with a keyed hash as round function, walked until the result is in the format again, so it is a bijection:
 equal values get equal pseudonyms in every document and different ones stay different. Values that fail validation
-are left as they are.
+are left as they are. Cards, IBANs and phones are also looked for in the shorter and later runs of whole groups of a run that fails
+validation, and the search goes on right after a rejected start. Of runs that overlap, a card in a printed form (one
+group, 4-4-4-4, 4-6-5 or 4-6-4) goes first.
 
-The key is a parameter. Without it the pseudonyms can't be reversed; with it ``restore`` gives the original value.
+The key is a parameter. Without it the pseudonyms can't be reversed; with it ``back`` gives the original value, unless a
+pseudonym makes a longer run with its neighbours valid that wasn't before.
 
 Edge cases: null and empty texts stay as they are; values that touch a letter or digit on either side are no values; a
 document may hold any number of values; rows with equal doc_id are rows of their own; an empty table gives an empty
@@ -219,22 +222,75 @@ def _symbols(s: str, key: bytes, tweak: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
+#: Each alternative of PATTERN by itself, and the kinds in the order in which it tries them.
+KINDS_IN_ORDER = tuple(sorted(PATTERN.groupindex, key=PATTERN.groupindex.get))
+ALONE = {k: re.compile(x) for k, x in zip(KINDS_IN_ORDER, re.split(r"\|(?=\(\?<!\[?\\w)", PATTERN.pattern), strict=True)}
 OF = {"card": card, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "email": email}
 
 
 def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its values replaced, and how many of each kind."""
     found: dict[str, int] = {}
-
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = OF[kind](m[0], key, back)
-        if new is None:
-            return m[0]
-        found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(swap, text), found
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        start = m.start()
+        at = start + 1
+        for kind, end in _readings(text, m):
+            new = OF[kind](text[start:end], key, back)
+            if new is not None:
+                found[kind] = found.get(kind, 0) + 1
+                out += text[done:start], new
+                done = at = end
+                break
+    return "".join([*out, text[done:]]), found
+
+
+def _readings(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """(kind, end) of the values that may start where ``m`` does: its own first, then those of the later kinds."""
+    start = m.start()
+    for kind in KINDS_IN_ORDER[KINDS_IN_ORDER.index(m.lastgroup) :]:
+        own = m if kind == m.lastgroup else ALONE[kind].match(text, start)
+        if own and kind == "card":
+            yield from (("card", end) for end in _card_ends(text, start))
+        elif own:
+            yield kind, own.end()
+            if kind in ("iban", "phone"):
+                # upper-case words or digit groups that follow look like more of the value
+                yield from ((kind, end) for end in range(own.end() - 1, start, -1) if text[end] == " " and ALONE[kind].fullmatch(text, start, end))
+
+
+#: Sizes of the digit groups that cards are printed in, besides one group.
+PRINTED = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+){0,18}")
+
+
+def _card_runs(text: str, start: int) -> list[tuple[int, bool]]:
+    """(end, printed) of the runs of whole digit groups from ``start`` with 13 to 19 digits, longest first."""
+    sizes, runs = [], []
+    for g in re.finditer(r"[0-9]+", _GROUPS.match(text, start)[0]):
+        sizes.append(len(g[0]))
+        if sum(sizes) > 19:
+            break
+        end = start + g.end()
+        if sum(sizes) >= 13 and not re.compile(r"\w|\.[0-9]").match(text, end):
+            runs.append((end, len(sizes) == 1 or tuple(sizes) in PRINTED))
+    return runs[::-1]
+
+
+def _valid_card(value: str) -> bool:
+    digits = re.sub(r"\D", "", value)
+    return luhn(digits) and len(set(digits)) > 1
+
+
+def _card_ends(text: str, start: int) -> Iterator[int]:
+    """Ends to try for a card at ``start``: printed forms first, then other runs that cut into no valid printed form."""
+    runs = _card_runs(text, start)
+    yield from (end for end, printed in runs if printed)
+    for end, printed in runs:
+        if not printed and _valid_card(text[start:end]):
+            later = (start + g.start() for g in re.finditer(r"(?<=[ -])[0-9]", text[start:end]))
+            if not any(p and _valid_card(text[i:e]) for i in later for e, p in _card_runs(text, i)):
+                yield end
 
 
 #: A text without a digit followed by another mark of a value can hold none.
