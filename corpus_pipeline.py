@@ -16,6 +16,8 @@ from quern.runtime import small, stage, table
 
 #: The least response of the language classifier; a text unlike every training text has responses near 0.
 LEAST_RESPONSE = 0.05
+#: Texts of this similarity in shingles of five words, or more, are near duplicates here; op9_minhash has its own threshold.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = stage(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id"))
+    gone = stage(minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id"))
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

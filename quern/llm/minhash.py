@@ -19,7 +19,7 @@ Plan:
 4. Components by alternating large-star and small-star steps, cut off with written tables.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.85 with 32 bands of 4 it is missed
-once in 10**10.
+once in 10**10, at 0.80 once in 2 * 10**7.
 
 Edge cases: null text and a text without words have no shingles, are linked with nothing and kept; with fewer than
 ``shingle`` words the whole sequence is the only shingle; rows with equal doc_id count as one document whose first row

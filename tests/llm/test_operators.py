@@ -524,6 +524,21 @@ def test_pipeline(spark):
     assert check_pieces([(r["doc_id"], r["text"]) for r in mixed], pieces) == 0
 
 
+def test_pipeline_takes_near_copies_from_80_percent(spark, docs):
+    """Jaccard 0.796, 0.80 and 0.842 of five-word shingles: the last two are near copies in the stage."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base))]
+    for d, n in ((2, 45), (3, 44), (4, 34)):  # n words at the end are others, so n of 396 shingles are
+        rows.append((d, " ".join([*base[: 400 - n], *(f"x{d}y{j}" for j in range(n))])))
+    table = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {d for d, x in brute_near(rows, 80).items() if x[2]}
+    assert left == {1, 2} and {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, table, "").collect()} == left
+    near = brute_near([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
+    assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()} == {d for d, x in near.items() if x[2]}
+
+
 def test_scratch_remainder(spark, docs):
     got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", remainder(4).alias("x")).collect()}
     assert all(x == zlib.crc32(str(d).encode()) % 4 for d, x in got.items())
