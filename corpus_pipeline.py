@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, minhash, mixing, packing, pii
-from quern.runtime import small, stage, table
+from quern.runtime import row_keys, small, stage, table
 
 #: The least response of the language classifier; a text unlike every training text has responses near 0.
 LEAST_RESPONSE = 0.05
 #: Texts of this similarity in shingles of five words, or more, are near duplicates here; op9_minhash has its own threshold.
 NEAR_PERCENT = 80
+#: A key of the rows within a stage, since doc_id may be null or repeat.
+ROW = "_row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = stage(minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id"))
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id stays (nulls last)."""
+    rows = row_keys(docs, ROW)
+    found = minhash.near_rows(rows.select(F.col(ROW).alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    gone = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias(ROW)))
+    return rows.join(small(gone), ROW, "left_anti").select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, copies and parts of documents that the mix takes."""
-    return mixing.realize(docs, mixing.mix(docs))
+    rows = row_keys(docs, ROW)
+    return mixing.realize(rows, mixing.mix(rows, key=ROW), ROW).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands:
 once in 10**10, at 0.80 once in 2 * 10**7.
 
 Edge cases: null text and a text without words have no shingles, are linked with nothing and kept; with fewer than
-``shingle`` words the whole sequence is the only shingle; rows with equal doc_id count as one document whose first row
-(by digest) decides; an empty table gives an empty result; other columns are ignored.
+``shingle`` words the whole sequence is the only shingle; rows with null or equal doc_id are documents of their own, and
+of a group the row with the smallest doc_id (nulls last; then by the text's hash) is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._text import fresh, mix, slices, words
-from quern.runtime import small, stage
+from quern.runtime import row_keys, small, stage, unique_ids
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
 BLOCK_BYTES = 4 << 20
@@ -162,8 +162,20 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links (verified links of its class's first text)."""
-    sketches = stage(profile(docs, k, bands, rows).dropDuplicates(["doc_id"]) if _repeats(docs) else profile(docs, k, bands, rows))
+    """One row per row of docs: doc_id, n_shingles, component_id (its first row's doc_id), kept, n_links (verified links of its
+    class's first text)."""
+    if unique_ids(docs):
+        return near_rows(docs, k, bands, rows, percent, pairs_up_to)
+    keyed = row_keys(docs.select("doc_id", "text"), "key")
+    found = near_rows(keyed.select(F.col("key").alias("doc_id"), "text"), k, bands, rows, percent, pairs_up_to).withColumnRenamed("doc_id", "key")
+    names = keyed.select("key", "doc_id")
+    first = found.join(names.select(F.col("key").alias("component_id"), F.col("doc_id").alias("first")), "component_id", "left")
+    return first.join(names, "key").select("doc_id", "n_shingles", F.col("first").alias("component_id"), "kept", "n_links")
+
+
+def near_rows(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+    """``near_duplicates`` of rows whose doc_id is a key (long, no nulls)."""
+    sketches = stage(profile(docs, k, bands, rows))
     real = sketches.filter("n_shingles > 0")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = classes.filter("copies > 1")
@@ -175,7 +187,7 @@ def near_duplicates(
     sharing = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     buckets = stage(buckets.select("key", "doc_id").join(sharing, "doc_id"))
     wanted = sharing.select("doc_id")
-    sets = stage(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]) if _repeats(docs) else shingle_sets(docs.join(small(wanted), "doc_id", "left_semi"), k))
+    sets = stage(shingle_sets(docs.join(small(wanted), "doc_id", "left_semi"), k))
     lengths = stage(sets.select("doc_id", F.size("shingles").alias("n")))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -273,8 +285,3 @@ def _by_differences(members: DataFrame, sets: DataFrame, join, percent: int) ->
     close = (F.abs(F.col("da") - F.col("db")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = a.join(b, ["root", "x"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
     return (links, comp), pairs
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id occurs twice."""
-    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())

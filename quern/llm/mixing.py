@@ -77,17 +77,18 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = 7,
+    key: str = "doc_id",
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken; and what is taken: ``copies`` whole texts, then words
+    """doc_id (or the column ``key``), size, source_size, target, taken; and what is taken: ``copies`` whole texts, then words
     [part_from, part_to) and [head_from, head_to)."""
-    rows = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    rows = stage(docs.select(F.col(key).alias("doc_id"), "source", size_of(F.col("text")).alias("size")))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     sources = sources.withColumn("_seats", F.round(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block_words).cast("long"))
     sources = apportion(sources, [], "target", "_seats", ["source"], "blocks")
     sources = sources.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("skey")
-    sources = stage(sources.select(key, "source_size", "target", "blocks", "n_shards"))
-    placed = rows.select("doc_id", "size", key).join(small(sources, 100_000), "skey")
+    skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("skey")
+    sources = stage(sources.select(skey, "source_size", "target", "blocks", "n_shards"))
+    placed = rows.select("doc_id", "size", skey).join(small(sources, 100_000), "skey")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards")))
     shards = placed.groupBy("skey", "shard").agg(F.sum("size").alias("words"), F.max("blocks").alias("blocks"))
     shards = apportion(shards, ["skey"], "words", "blocks", ["shard"], "quota")
@@ -112,22 +113,22 @@ def mix(
     c, d = cut(F.lit(0), stop - F.col("words"))
     copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0))
     return placed.select(
-        "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
+        F.col("doc_id").alias(key), "size", "source_size", F.col("target").cast("double").alias("target"),
         (copies * F.col("size") + (b - a) + (d - c)).cast("long").alias("taken"),
         copies.cast("long").alias("copies"), a.alias("part_from"), b.alias("part_to"), c.alias("head_from"), d.alias("head_to"),
     )
 
 
-def realize(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def realize(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """The mixed documents with the columns of ``docs``: whole copies, and parts as their words joined by single spaces.
 
-    ``doc_id`` has to be unique in ``docs``; a document that the mix doesn't take has no row.
+    ``key`` has to be unique in ``docs`` and not null (``runtime.row_keys`` makes one); a document that the mix doesn't take has no row.
     """
     names = ("size", "copies", "part_from", "part_to", "head_from", "head_to")
-    p = plan.select("doc_id", F.struct(*names).alias("_mix"))
+    p = plan.select(key, F.struct(*names).alias("_mix"))
     size, copies, part_from, part_to, head_from, head_to = (F.col(f"_mix.{c}") for c in names)
     cut = (part_to > 0) | (head_to > 0)
-    joined = docs.join(small(p, 300_000), "doc_id").withColumn("_split", F.when(cut, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    joined = docs.join(small(p, 300_000), key).withColumn("_split", F.when(cut, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
 
     def part(a: Column, b: Column) -> Column:
         whole = (a == 0) & (b == size)

@@ -54,6 +54,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or occurs twice."""
+    return not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+
+
+def row_keys(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a long column ``key`` that each row has alone and that grows with doc_id (nulls last), then with the text's hash.
+
+    It is doc_id where no doc_id is null or occurs twice; else the rows are sorted, numbered and written once with their texts.
+    """
+    if unique_ids(docs):
+        return docs.withColumn(key, F.col("doc_id"))
+    rows = docs.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return stage(rows.withColumn(key, F.monotonically_increasing_id()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -539,6 +539,43 @@ def test_pipeline_takes_near_copies_from_80_percent(spark, docs):
     assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()} == {d for d, x in near.items() if x[2]}
 
 
+def test_pipeline_keeps_rows_with_null_and_repeated_doc_ids(spark):
+    """Rows with null or equal doc_ids are documents of their own: near copies among them go, the others stay and are taken as often as the mix says."""
+    import corpus_pipeline
+
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["c"]), (7, text["d"]), (8, text["d"]), (9, text["e"]), (None, text["e"]), (None, text["f"]), (None, text["f"]), (3, None), (3, "")]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.deduplicate(spark, table, "")
+    want = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (9, text["e"]), (None, text["f"]), (3, None), (3, "")]
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+    every = minhash.near_duplicates(table).collect()
+    assert len(every) == len(rows) and sum(r["kept"] for r in every) == len(want)
+    mixed = corpus_pipeline.mixture(spark, left, "")
+    assert mixed.columns == table.columns
+    # one source takes all its words once
+    taken = Counter((r["doc_id"], w) for r in mixed.collect() for w in words(r["text"]))
+    whole = Counter((d, w) for d, t in want for w in words(t))
+    assert taken <= whole and sum((whole - taken).values()) <= mixing.BLOCK_WORDS
+
+
+def test_pipeline_of_the_odd_table(spark, odd):
+    """Every stage over nulls, empty texts and repeated rows: what one stage leaves, the next takes up."""
+    import corpus_pipeline
+
+    # the language stage has no classifier to learn from ten rows, so the others start from the whole table
+    left = corpus_pipeline.deduplicate(spark, odd, "")
+    want = Counter((r[0], r[1]) for r in ODD) - Counter([(6, ODD[5][1])] * 2)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == want
+    clean = corpus_pipeline.pseudonyms(spark, left, "")
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == want
+    mixed = corpus_pipeline.mixture(spark, clean, "").collect()
+    assert all(r["text"] for r in mixed) and {r["doc_id"] for r in mixed} <= {d for d, _ in want}
+    assert corpus_pipeline.language(spark, odd, "").columns == odd.columns
+    again = spark.createDataFrame([(r["doc_id"], r["text"]) for r in mixed], "doc_id long, text string")
+    assert check_pieces([(r["doc_id"], r["text"]) for r in mixed], corpus_pipeline.sequences(spark, again, "").collect()) == 0
+
+
 def test_scratch_remainder(spark, docs):
     got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", remainder(4).alias("x")).collect()}
     assert all(x == zlib.crc32(str(d).encode()) % 4 for d, x in got.items())
