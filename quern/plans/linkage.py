@@ -39,6 +39,7 @@ KEYS = {
     "first": f"country || '|' || {FIRST}",
     "house_street": "country || '|' || addr_house || '|' || coalesce(list_filter(string_split(addr_norm, ' '), lambda x: x <> '')[2], '')",
 }
+#: The limit in the SQL. The queries take the operator's own, so they have more rows than the SQL where a block is larger.
 LIMIT = 40
 
 
@@ -55,7 +56,7 @@ def pairs_sql(name: str, limit: int = LIMIT) -> str:
 
 def block_query(name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return blocking.block_pairs(blocking.keyed(normalized(spark, d), blocking.keys()[name]), LIMIT)
+        return blocking.block_pairs(blocking.keyed(normalized(spark, d), blocking.keys()[name]))
 
     query(f"{NORM}, {pairs_sql(name)} SELECT s1, m FROM p_{name}", f"block_{name}")(run)
 
@@ -67,12 +68,12 @@ for _name in KEYS:
 @query(f"{NORM}, {', '.join(map(pairs_sql, KEYS))} " + " UNION ".join(f"SELECT s1, m FROM p_{k}" for k in KEYS))
 def block_union(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
-    return blocking.union_pairs([blocking.block_pairs(blocking.keyed(rec, k), LIMIT) for k in blocking.keys().values()])
+    return blocking.union_pairs([blocking.block_pairs(blocking.keyed(rec, k)) for k in blocking.keys().values()])
 
 
 @query(f"{NORM}, {keyed_sql('first')} SELECT key, count(*) AS n FROM k_first WHERE src <> 'S1' GROUP BY 1 HAVING count(*) > {LIMIT}")
 def block_oversize(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.oversize(blocking.keyed(normalized(spark, d), blocking.keys()["first"]), LIMIT)
+    return blocking.oversize(blocking.keyed(normalized(spark, d), blocking.keys()["first"]))
 
 
 def report_sql(name: str) -> str:
@@ -86,7 +87,7 @@ SELECT (SELECT count(*) FROM p_{name}) AS n_pairs, (SELECT count(*) FROM p_{name
 
 def report_query(name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return blocking.report(blocking.keyed(normalized(spark, d), blocking.keys()[name]), adapter.true_pairs(spark, d), LIMIT)
+        return blocking.report(blocking.keyed(normalized(spark, d), blocking.keys()[name]), adapter.true_pairs(spark, d))
 
     query(report_sql(name), f"block_report_{name}")(run)
 
@@ -207,7 +208,7 @@ PAIRED = f"{NORM}, {pairs_sql('first')}, pr AS (SELECT p.s1, p.m, " + ", ".join(
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
-    return features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"]), LIMIT), rec)
+    return features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"])), rec)
 
 
 def pair_query(name: str, sql: str, column, digits: int | None = 6) -> None:
@@ -306,7 +307,7 @@ IDF = (
 def idf_overlap(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
     idf = stage(features.token_idf(features.idf_texts(rec)))
-    pairs = features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"]), LIMIT), features.with_idf_map(rec, idf))
+    pairs = features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"])), features.with_idf_map(rec, idf))
     f = features.idf_features(F.lit(idf.agg(F.max("idf")).first()[0]))
     return pairs.select("s1", "m", *[F.round(f[c], 6).alias(c) for c in ("nm_idf_cov_l", "nm_idf_jac", "nm_idf_cov_r")])
 
