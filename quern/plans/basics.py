@@ -87,27 +87,29 @@ def bench_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("i", (F.col("i") + 1).cast("bigint"))
 
 
-NULLISH = "CASE doc_id % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN ' null ' WHEN 2 THEN '' WHEN 3 THEN '--' WHEN 4 THEN NULL WHEN 5 THEN '<NULL>' ELSE substr(text, 1, 10) END"
+# The SQL of null_tokens, script_first_letter, clean_text, fold_accents and alias_split reads prefixes; the queries read whole texts.
+def nullish(rest: str) -> str:
+    return f"CASE doc_id % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN ' null ' WHEN 2 THEN '' WHEN 3 THEN '--' WHEN 4 THEN NULL WHEN 5 THEN '<NULL>' ELSE {rest} END"
 
 
-@query(f"SELECT doc_id, {Q.null_test('x')} AS is_null FROM (SELECT doc_id, {NULLISH} AS x FROM documents)")
+@query(f"SELECT doc_id, {Q.null_test('x')} AS is_null FROM (SELECT doc_id, {nullish('substr(text, 1, 10)')} AS x FROM documents)")
 def null_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.expr(NULLISH).alias("x")).select("doc_id", X.is_null(F.col("x")).alias("is_null"))
+    return table(spark, d, "documents").select("doc_id", F.expr(nullish("text")).alias("x")).select("doc_id", X.is_null(F.col("x")).alias("is_null"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 48), '\\p{L}') THEN 'LATIN' ELSE 'NONE' END AS script FROM documents")
 def script_first_letter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.script_of(F.substring("text", 1, 48)).alias("script"))
+    return table(spark, d, "documents").select("doc_id", X.script_of(F.col("text")).alias("script"))
 
 
 @query(f"SELECT doc_id, {Q.cleaned('substr(text, 1, 200)')} AS clean FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.clean_text(F.substring("text", 1, 200)).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT doc_id, {Q.folded('substr(text, 1, 200)')} AS folded FROM documents")
 def fold_accents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
 @query(f"WITH {WORDS}, s AS (SELECT item_id, i, {Q.skeleton('w')} AS t FROM words) SELECT item_id, CAST(i AS BIGINT) AS i, substr(t, 1, 1) || regexp_replace(substr(t, 2), '[aeiouy]', '', 'g') AS skeleton FROM s")
@@ -126,12 +128,13 @@ def domain_stem(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.domain_stem(F.col("url")).alias("stem"))
 
 
-ALIASED = "concat(substr(text, 1, 12), CASE doc_id % 5 WHEN 0 THEN ' dba ' WHEN 1 THEN ' d / b / a ' WHEN 2 THEN ' Formerly Known As ' WHEN 3 THEN ' t/a ' ELSE ' ' END, substr(text, 13, 20))"
+def aliased(rest: str) -> str:
+    return f"concat(substr(text, 1, 12), CASE doc_id % 5 WHEN 0 THEN ' dba ' WHEN 1 THEN ' d / b / a ' WHEN 2 THEN ' Formerly Known As ' WHEN 3 THEN ' t/a ' ELSE ' ' END, {rest})"
 
 
-@query(f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_parts, p[1] AS first_part FROM (SELECT doc_id, list_filter(string_split_regex({ALIASED}, {Q.literal(T.ALIAS)}), lambda x: regexp_matches(x, '\\S')) AS p FROM documents)")
+@query(f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_parts, p[1] AS first_part FROM (SELECT doc_id, list_filter(string_split_regex({aliased('substr(text, 13, 20)')}, {Q.literal(T.ALIAS)}), lambda x: regexp_matches(x, '\\S')) AS p FROM documents)")
 def alias_split(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select("doc_id", X.alias_parts(F.expr(ALIASED)).alias("p"))
+    p = table(spark, d, "documents").select("doc_id", X.alias_parts(F.expr(aliased("substr(text, 13)"))).alias("p"))
     return p.select("doc_id", F.size("p").alias("n_parts"), F.get("p", F.lit(0)).alias("first_part"))
 
 

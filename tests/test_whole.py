@@ -30,3 +30,14 @@ def test_blocks_of_more_than_forty_rows(spark, blocks):
     assert QUERIES["block_oversize"](spark, blocks).count() == 0
     report = QUERIES["block_report_first"](spark, blocks).first()
     assert (report["n_pairs"], report["max_block"], report["dropped_s1_pct"]) == (1800, 60, 0.0)
+
+
+def test_text_functions_read_whole_texts(spark, tmp_path):
+    long = "0" * 250 + " Straße & Été"
+    d = write(spark, tmp_path, [(6, long, "en"), (7, "null" + " " * 20 + "x", "en"), (8, "- " * 200, "en"), (5, "a" * 40 + " dba end", "en")])
+    found = {n: {r["doc_id"]: r for r in QUERIES[n](spark, d).collect()} for n in ("script_first_letter", "clean_text", "fold_accents", "null_tokens", "alias_split")}
+    assert {i: found["script_first_letter"][i]["script"] for i in (6, 8)} == {6: "LATIN", 8: "NONE"}
+    assert found["clean_text"][6]["clean"] == "0" * 250 + " Straße and Été"
+    assert found["fold_accents"][6]["folded"] == "0" * 250 + " strasse & ete"
+    assert not found["null_tokens"][7]["is_null"]
+    assert found["alias_split"][5]["n_parts"] == 3 and found["alias_split"][5]["first_part"].strip() == "a" * 12
