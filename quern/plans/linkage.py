@@ -322,8 +322,7 @@ def alias_domain(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
-    cand = stage(retrieval.candidates(rec, k=5, k_reverse=2))
-    return features.pair_features(cand, rec)
+    return features.pair_features(stage(found(spark, d)), rec)
 
 
 # decisions

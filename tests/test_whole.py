@@ -32,6 +32,11 @@ def test_blocks_of_more_than_forty_rows(spark, blocks):
     assert (report["n_pairs"], report["max_block"], report["dropped_s1_pct"]) == (1800, 60, 0.0)
 
 
+def test_pair_features_of_all_candidates(spark):
+    want = {(r["s1"], r["m"]) for r in QUERIES["candidates"](spark, SF).select("s1", "m").collect()}
+    assert {(r["s1"], r["m"]) for r in QUERIES["pair_features"](spark, SF).select("s1", "m").collect()} == want
+
+
 def test_text_functions_read_whole_texts(spark, tmp_path):
     long = "0" * 250 + " Straße & Été"
     d = write(spark, tmp_path, [(6, long, "en"), (7, "null" + " " * 20 + "x", "en"), (8, "- " * 200, "en"), (5, "a" * 40 + " dba end", "en")])
