@@ -1,6 +1,8 @@
 """Scalar text functions and record normalisation as Column expressions.
 
-Only Unicode folding and romanisation need Python; those Arrow UDFs see nulls for rows of plain ASCII.
+Folding, NFKC and romanisation go letter by letter over tables made by rule from the Unicode database, for texts in
+which no letter acts on its neighbours (Latin letters with accents, Indic letters but for the few that compose). Only
+other texts need Python; ``prepared`` filters their rows off, so that the rest never meet a Python worker.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.types import StringType
 
 from quern.functions import tables as T
 
-ASCII = r"^[\x00-\x7F]*$"
+ASCII = r"^[\x00-\x7F]*\z"
 #: Scripts that ``script_of`` names, by the Unicode property that tells them.
 SCRIPTS = (
     "Latin Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Greek Cyrillic Arabic Hebrew Thai Armenian Georgian Hiragana Katakana Hangul Han"
@@ -81,6 +83,46 @@ def romanize_text(s: str) -> str:
     return "".join(map(_roman, s)).lower()
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class of code points in order, as ranges."""
+    out, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\x{{{codes[i]:X}}}-\\x{{{codes[j]:X}}}")
+        i = j + 1
+    return "".join(out)
+
+
+LATIN_CODES = [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *sorted(map(ord, MARKS))]
+INDIC_CODES = range(0x900, 0xE00)
+#: Second parts of letters that compose.
+_TAILS = {ord(c) for i in INDIC_CODES for c in unicodedata.normalize("NFD", chr(i))[1:]}
+_ALONE = sorted({*LATIN_CODES, *(i for i in INDIC_CODES if unicodedata.normalize("NFKC", chr(i)) == chr(i) and unicodedata.combining(chr(i)) in (0, 9) and i not in _TAILS)})
+#: Texts whose normal form is that of their letters one by one.
+BY_LETTER = rf"^[\x00-\x7F{_ranges(_ALONE)}]*\z"
+
+
+def _by_letter(c: Column, table: dict[str, str]) -> Column:
+    """Each letter replaced by what the table has for it, ASCII letters by themselves."""
+    changed = {k: v for k, v in table.items() if k != v}
+    one = {k: v for k, v in changed.items() if len(v) == 1}
+    none = [k for k, v in changed.items() if not v]
+    more = {k: v for k, v in changed.items() if len(v) > 1}
+    t = F.translate(c, "".join([*one, *none]), "".join(one.values()))
+    if more:
+        pairs = F.str_to_map(F.lit("\t".join(f"{k}\n{v}" for k, v in more.items())), F.lit("\t"), F.lit("\n"))
+        spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+        t = F.when(t.rlike(f"[{_ranges(sorted(map(ord, more)))}]"), spelled).otherwise(t)
+    return F.when(c.rlike(ASCII), c).otherwise(t)
+
+
+FOLDED = {chr(i): fold_text(chr(i)) for i in _ALONE}
+COMPATIBLE = {chr(i): unicodedata.normalize("NFKC", chr(i)) for i in _ALONE}
+ROMAN = {chr(i): romanize_text(chr(i)) for i in [*LATIN_CODES, *INDIC_CODES]}
+
+
 @F.pandas_udf(StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
@@ -91,25 +133,30 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _romanize(s: pd.Series) -> pd.Series:
-    return s.map(romanize_text, na_action="ignore")
+def romanize(c: Column) -> Column:
+    return F.lower(_by_letter(c, ROMAN))
 
 
-def _python_where_needed(c: Column, udf, plain: Column) -> Column:
-    return F.when(c.rlike(ASCII), plain).otherwise(udf(F.when(~c.rlike(ASCII), c)))
+#: By kind of normal form: the table of letters, the way for other texts, and what both end with.
+FORMS = {"fold": (FOLDED, _fold, F.lower), "nfkc": (COMPATIBLE, _nfkc, lambda c: c)}
 
 
-def fold(c: Column) -> Column:
-    return _python_where_needed(c, _fold, F.lower(c))
+def prepared(df: DataFrame, **forms: tuple[str, str]) -> DataFrame:
+    """Add columns, each the normal form (kind, column) of a column with nulls as empty texts.
 
+    Rows whose texts can be done letter by letter stay in the JVM; the others are filtered off, go through Python
+    and are put back by a union.
+    """
+    filled = {name: F.coalesce(F.col(raw), F.lit("")) for name, (_, raw) in forms.items()}
+    plain = reduce(lambda a, b: a & b, [c.rlike(BY_LETTER) for c in filled.values()])
+    quick = df.filter(plain).withColumns({n: FORMS[kind][2](_by_letter(filled[n], FORMS[kind][0])) for n, (kind, _) in forms.items()})
+    slow = df.filter(~plain).withColumns({n: FORMS[kind][1](filled[n]) for n, (kind, _) in forms.items()})
+    return quick.unionByName(slow)
 
-def nfkc(c: Column) -> Column:
-    return _python_where_needed(c, _nfkc, c)
 
-
-def romanize(c: Column) -> Column:
-    return _python_where_needed(c, _romanize, F.lower(c))
+def fold(c: Column) -> Column:
+    """``fold_text`` as one expression; all rows pass a Python worker, with nulls for those that don't need it."""
+    return F.when(c.rlike(BY_LETTER), F.lower(_by_letter(c, FOLDED))).otherwise(_fold(F.when(~c.rlike(BY_LETTER), c)))
 
 
 def squash_phonetic(c: Column) -> Column:
@@ -185,7 +232,9 @@ def transliterate(tokens_: Column, native: Column | None) -> Column:
 def normalize_names(df: DataFrame, raw: str = "business_name", native_token: Column | None = None) -> DataFrame:
     """Add name_script, name_norm, name_core, name_legal, name_alias, name_domain, name_is_translit."""
     c = F.coalesce(F.col(raw), F.lit(""))
-    df = df.withColumns({"_null": is_null(F.col(raw)), "_s": fold(c)})
+    if "_fold" not in df.columns:
+        df = prepared(df, _fold=("fold", raw))
+    df = df.withColumn("_null", is_null(F.col(raw))).withColumnRenamed("_fold", "_s")
     df = df.withColumn("name_script", F.when(F.col("_null"), F.lit("NONE")).otherwise(script_of(c)))
     s = F.col("_s")
     df = df.withColumn("name_domain", F.when(F.col("_null"), F.lit("")).otherwise(domain_stem(s)))
@@ -231,8 +280,10 @@ def canonical_address_token(t: Column) -> Column:
 
 def normalize_addresses(df: DataFrame, raw: str = "business_address", native_state: Column | None = None) -> DataFrame:
     """Add addr_norm, addr_state, addr_numbers, addr_postcode, addr_house, addr_has_native, addr_ncomp."""
+    if "_nfkc" not in df.columns:
+        df = prepared(df, _nfkc=("nfkc", raw))
     df = df.withColumn("_null", is_null(F.col(raw)))
-    parts = F.transform(F.split(nfkc(F.coalesce(F.col(raw), F.lit(""))), ","), lambda x: F.btrim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    parts = F.transform(F.split("_nfkc", ","), lambda x: F.btrim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
     df = df.withColumn("_c", F.when(F.col("_null"), F.array().cast("array<string>")).otherwise(F.filter(parts, lambda x: ~is_null(x))))
     df = df.withColumn("addr_ncomp", F.size("_c"))
     df = df.withColumn("addr_has_native", F.exists("_c", lambda x: x.rlike(T.INDIC)))
@@ -254,11 +305,12 @@ def normalize_addresses(df: DataFrame, raw: str = "business_address", native_sta
         "addr_numbers": F.array_join(F.regexp_extract_all("addr_norm", F.lit(r"\d+(?:[a-z](?![a-z]))?"), F.lit(0)), " "),
         "addr_postcode": F.coalesce(F.try_element_at(F.regexp_extract_all("addr_norm", F.lit(r"\b\d{5,6}\b"), F.lit(0)), F.lit(-1)), F.lit("")),
         "addr_house": F.regexp_extract("addr_norm", r"\d+", 0),
-    }).drop("_null", "_c", "_k", "_n", "_z", "_t")
+    }).drop("_null", "_nfkc", "_c", "_k", "_n", "_z", "_t")
 
 
 def normalize(df: DataFrame, native_token: Column | None = None, native_state: Column | None = None) -> DataFrame:
     """A record table with the 14 derived columns."""
+    df = prepared(df, _fold=("fold", "business_name"), _nfkc=("nfkc", "business_address"))
     return normalize_addresses(normalize_names(df, native_token=native_token), native_state=native_state)
 
 

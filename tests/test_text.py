@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,16 @@ def test_windows(spark):
     df = spark.createDataFrame([("A", "x", 9.0), ("A", "y", 9.0), ("A", "z", 4.0), ("B", "x", 5.0)], "m string, s1 string, p double")
     got = sorted(tuple(r) for r in df.select("m", "s1", windows.rank_in_group("p", "m"), windows.gap_to_best("p", "m"), windows.second_best("p", "m"), windows.margin("p", "m"), windows.group_size("m")).collect())
     assert got == [("A", "x", 1, 0.0, 9.0, 0.0, 3), ("A", "y", 1, 0.0, 9.0, 0.0, 3), ("A", "z", 3, 5.0, 9.0, -5.0, 3), ("B", "x", 1, 0.0, -1.0, 6.0, 1)]
+
+
+def test_normal_forms_letter_by_letter(spark):
+    """The tables of letters and the texts that go through Python, against the definitions."""
+    rng = random.Random(3)
+    alphabet = [chr(i) for i in (*range(32, 127), *X.LATIN_CODES, *X.INDIC_CODES, *range(0x300, 0x320), 0x3B1, 0x3A3, 0x4E00, 0xFF21, 0x1F600)]
+    safe = [chr(i) for i in X._ALONE]
+    words = alphabet + ["".join(rng.choices(source, k=rng.randint(0, 12))) for source in (alphabet, safe) for _ in range(500)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    out = X.prepared(df, f=("fold", "w"), n=("nfkc", "w")).withColumns({"r": X.romanize(F.col("w")), "g": X.fold(F.col("w")), "plain": F.col("w").rlike(X.BY_LETTER)}).collect()
+    assert len(out) == len(words) and 500 < sum(r["plain"] for r in out) < len(words)
+    for r in out:
+        assert (r["f"], r["g"], r["n"], r["r"]) == (X.fold_text(r["w"]), X.fold_text(r["w"]), unicodedata.normalize("NFKC", r["w"]), X.romanize_text(r["w"])), ascii(r["w"])
