@@ -56,9 +56,21 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.agg(F.max(F.struct("macro_f05", (-F.col("threshold")).alias("t"))).alias("x")).select((-F.col("x.t")).alias("threshold"), F.col("x.macro_f05").alias("macro_f05"))
 
 
-def pair_precision_recall(scored: DataFrame, n_true: int | Column, threshold: float) -> DataFrame:
+def pair_precision_recall(scored: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
+    """(n_kept, n_right, n_true, pair_precision, pair_recall) of the best rows of (s1, m, label, p) that reach the threshold; recall is over
+    all true pairs (s1, m), found or not. A share of nothing is null."""
     kept = best_owner(scored, "p").filter(F.col("p") >= threshold)
-    return kept.agg(F.count("*").alias("n_kept"), F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("n_right"))
+    sums = kept.agg(F.count("*").alias("n_kept"), F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("n_right"))
+    # two tables of one row
+    both = sums.join(F.broadcast(truth.agg(F.count("*").alias("n_true"))))
+    return both.withColumns({"pair_precision": F.round(F.try_divide("n_right", "n_kept"), 6), "pair_recall": F.round(F.try_divide("n_right", "n_true"), 6)})
+
+
+def comparison_space(records: DataFrame, microseconds: float = 1.0) -> DataFrame:
+    """(country, n_s1, n_other, n_pairs, days): how many pairs a comparison of all would have, by country and (null) overall."""
+    c = records.rollup("country").agg(*[F.sum((F.col("src") == "S1").cast("int") if s == "n_s1" else (F.col("src") != "S1").cast("int")).alias(s) for s in ("n_s1", "n_other")])
+    n = F.col("n_s1").cast("double") * F.col("n_other")
+    return c.select("country", "n_s1", "n_other", n.alias("n_pairs"), (n * microseconds / 86400e6).alias("days"))
 
 
 def candidate_recall(cand: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import similarity as S
@@ -67,8 +67,41 @@ def random_negatives(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def shared_names(records: DataFrame, name: str = "name_core") -> DataFrame:
     """n, percent of S1 whose name another S1 of the country has, number of names."""
-    s1 = records.filter("src = 'S1'").withColumn("k", F.count("*").over(Window.partitionBy("country", name)))
-    return s1.agg(F.count("*").alias("n"), rate((F.col("k") > 1) & (F.col(name) != "")).alias("shared_pct"), F.countDistinct("country", name).alias("n_names"))
+    names = records.filter("src = 'S1'").groupBy("country", name).agg(F.count("*").alias("k"))
+    shared = F.sum(F.when((F.col("k") > 1) & (F.col(name) != ""), F.col("k")).otherwise(0))
+    return names.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.round(100.0 * F.try_divide(shared, F.sum("k")), 4).alias("shared_pct"), F.count("*").alias("n_names"))
+
+
+def top_names(records: DataFrame, name: str = "name_core", n: int = 15) -> DataFrame:
+    """The names that most S1 have, with how many."""
+    return records.filter("src = 'S1'").groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
+
+
+def cluster_sizes(counts: DataFrame, by: str) -> DataFrame:
+    """Number of matches of S1 (s1, n_true, ``by``) by group: n, mean, std, least, quartiles, most."""
+    c = F.col("n_true")
+    quartiles = [F.percentile(c, F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    return counts.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("least"), *quartiles, F.max(c).alias("most"))
+
+
+def cluster_histogram(counts: DataFrame, truth: DataFrame, sources: tuple[str, ...] = ("S2", "S3")) -> DataFrame:
+    """(src, size, n): how many S1 have ``size`` matches, in all and in each source."""
+    of = truth.groupBy("s1").agg(*[F.sum((F.substring("m", 1, 2) == s).cast("bigint")).alias(s) for s in sources])
+    wide = counts.select("s1", F.col("n_true").alias("all")).join(of, "s1", "left").na.fill(0)
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("src"), F.col(c).cast("bigint").alias("size")) for c in ("all", *sources)])))
+    return long.groupBy("src", "size").agg(F.count("*").alias("n"))
+
+
+def cluster(records: DataFrame, truth: DataFrame, s1: str) -> DataFrame:
+    """The records of one S1 and of all its true matches."""
+    ids = truth.filter(F.col("s1") == s1).select(F.col("m").alias("entity_id"))
+    return records.filter(F.col("entity_id") == s1).unionByName(records.join(ids, "entity_id", "left_semi").select(*records.columns))
+
+
+def singletons_by_legal(records: DataFrame, counts: DataFrame, top: int = 12) -> DataFrame:
+    """Percent of S1 without a match by legal form, the ``top`` highest."""
+    s1 = records.filter("src = 'S1'").select(F.col("entity_id").alias("s1"), F.when(F.col("name_legal") == "", F.lit("<none>")).otherwise(F.col("name_legal")).alias("name_legal"))
+    return s1.join(counts, "s1").groupBy("name_legal").agg(F.count("*").alias("n"), rate(F.col("n_true") == 0).alias("singleton_pct")).orderBy(F.desc("singleton_pct"), "name_legal").limit(top)
 
 
 def distractors(records: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,57 +1,196 @@
-"""Character-trigram TF-IDF and top-k retrieval as an inverted-index join.
+"""Character-trigram TF-IDF and exact top-k retrieval by blocked sparse products.
 
-All (country, source) corpora are handled by one plan: country and target source are part of every key. Frequent
-grams are dropped by their document frequency before the join, which bounds the posting lists; the join is an equi join
-on (country, target, field, gram), and scores are sums by pair, pre-aggregated before the shuffle.
+All (country, source) corpora go through one plan. Texts become unit vectors (an array of gram codes and one of weights);
+the vectors of S1 and of the others are dealt into blocks by hash, and each pair of blocks of one corpus is multiplied in
+one task: products are summed in numpy, never as rows, and a task returns only what may be among the best k of a query
+or of a record. So the shuffle moves vectors once per block of the other side and a few rows per text, whatever the
+number of products. The number of blocks follows from the number of texts; a corpus that holds most rows has more of them,
+and no gram is a key, so frequent grams make no hot partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import char_trigrams, name_text
 from quern.operators.windows import top_k
+from quern.runtime import small, stage
 
 MAX_DF, MIN_DF, K, K_REVERSE, DIGITS = 0.2, 2, 20, 5, 9
 FIELDS = ("name", "addr")
+#: Texts in a block of queries and in a block of records.
+QUERY_BLOCK, RECORD_BLOCK = 2_048, 8_192
+#: Cells of a score matrix, and products, that are held at once.
+CELLS, PRODUCTS = 1 << 21, 1 << 21
+CORPUS = ["country", "target"]
 
 
-def corpus(records: DataFrame) -> DataFrame:
-    """(entity_id, src, country, target, field, text): S1 texts appear once for each target source they are matched with."""
+def corpus(records: DataFrame, together: bool = False) -> DataFrame:
+    """(entity_id, src, country, target, field, text): S1 texts appear once for each target source they are matched with, or
+    ``together`` once, with all others in one corpus."""
+    targets = F.array(F.lit("all")) if together else F.when(F.col("src") == "S1", F.array(F.lit("S2"), F.lit("S3"))).otherwise(F.array("src"))
     texts = records.select(
-        "entity_id", "src", "country",
-        F.explode(F.when(F.col("src") == "S1", F.array(F.lit("S2"), F.lit("S3"))).otherwise(F.array("src"))).alias("target"),
+        "entity_id", "src", "country", F.explode(targets).alias("target"),
         F.array(F.struct(F.lit("name").alias("field"), name_text(F.col("name_norm"), F.col("name_domain")).alias("text")), F.struct(F.lit("addr").alias("field"), F.col("addr_norm").alias("text"))).alias("fields"),
     )
     return texts.select("entity_id", "src", "country", "target", F.inline("fields"))
 
 
+def gram_code(g: Column) -> Column:
+    """The three code points of a gram in one long."""
+    at = lambda i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.shiftleft(at(1), 42) + F.shiftleft(at(2), 21) + at(3)
+
+
 def weights(texts: DataFrame, max_df: float = MAX_DF, min_df: int = MIN_DF) -> DataFrame:
-    """(country, target, field, entity_id, src, gram, w): sublinear tf times smoothed idf, unit length per text.
+    """(country, target, field, entity_id, src, gram, x): sublinear tf times smoothed idf, not yet of unit length.
 
-    A corpus is all texts of a (country, target, field), both sides, empty ones included in its size.
+    A corpus is all texts of a (country, target, field), both sides, empty ones included in its size. The counts in a text are
+    written once; document frequencies and weights start from them.
     """
     key = ["country", "target", "field"]
     sizes = texts.groupBy(*key).agg(F.count("*").alias("n"))
-    tf = texts.select(*key, "entity_id", "src", F.explode(char_trigrams(F.col("text"))).alias("gram")).groupBy(*key, "entity_id", "src", "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*key, "gram").agg(F.count("*").alias("df")).join(F.broadcast(sizes), key).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * F.lit(max_df)))
+    grams = texts.select(*key, "entity_id", "src", F.explode(char_trigrams(F.col("text"))).alias("gram"))
+    tf = stage(grams.groupBy(*key, "entity_id", "src", "gram").agg(F.count("*").alias("tf")))
+    df = tf.groupBy(*key, "gram").agg(F.count("*").alias("df")).join(small(sizes), key).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * F.lit(max_df)))
     idf = df.select(*key, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, [*key, "gram"]).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(*key, "entity_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, [*key, "entity_id"]).select(*key, "entity_id", "src", "gram", (F.col("x") / F.col("norm")).alias("w"))
-
-
-def cosines(w: DataFrame) -> DataFrame:
-    """(country, target, s1, m, cos_name, cos_addr, cos_comb) of all pairs that share a gram."""
-    key = ["country", "target", "field", "gram"]
-    q = w.filter("src = 'S1'").select(*key, F.col("entity_id").alias("s1"), F.col("w").alias("wq"))
-    d = w.filter("src <> 'S1'").select(*key, F.col("entity_id").alias("m"), F.col("w").alias("wd"))
-    product = F.col("wq") * F.col("wd")
-    pairs = q.join(d, key).groupBy("country", "target", "s1", "m").agg(
-        *[F.round(F.sum(F.when(F.col("field") == f, product).otherwise(F.lit(0.0))), DIGITS).alias(f"cos_{f}") for f in FIELDS]
-    )
-    return pairs.withColumn("cos_comb", (F.col("cos_name") + F.col("cos_addr")) / 2)
+    return tf.join(idf, [*key, "gram"]).select(*key, "entity_id", "src", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
+
+
+def vectors(raw: DataFrame) -> DataFrame:
+    """(country, target, entity_id, src, name_grams, name_w, addr_grams, addr_w): unit vectors, grams in order; a row per text pair."""
+    pair = F.struct(gram_code(F.col("gram")).alias("g"), "x")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("field") == f, pair))).alias(f) for f in FIELDS]
+    both = raw.groupBy(*CORPUS, "entity_id", "src").agg(*lists)
+    out = []
+    for f in FIELDS:
+        norm = F.sqrt(F.aggregate(f, F.lit(0.0), lambda a, v: a + v["x"] * v["x"]))
+        out += [F.col(f"{f}.g").alias(f"{f}_grams"), F.transform(f, lambda v: v["x"] / norm).alias(f"{f}_w")]
+    return both.select(*CORPUS, "entity_id", "src", *out)
+
+
+def unit(raw: DataFrame) -> DataFrame:
+    """``weights`` with w, the weight in the unit vector of the text."""
+    of = ["country", "target", "field", "entity_id"]
+    norm = raw.groupBy(*of).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return raw.join(norm, of).withColumn("w", F.col("x") / F.col("norm")).drop("norm", "x")
+
+
+def pair_cosines(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+    """``pairs`` (s1, m, ...) with cos_name and cos_addr; a pair without a common gram, or of two countries, has 0."""
+    side = lambda where, ident, p: vecs.filter(where).select(F.col("entity_id").alias(ident), *[F.col(c).alias(f"{p}{c}") for c in vecs.columns if c.endswith(("_grams", "_w"))], *([F.col("target").alias("_t"), F.col("country").alias("_c")]))
+    right = side("src <> 'S1'", "m", "r_").withColumnsRenamed({"_t": "_rt", "_c": "_rc"})
+    left = side("src = 'S1'", "s1", "l_")
+    both = pairs.join(right, "m", "left").join(left, (left["s1"] == pairs["s1"]) & (F.col("_t") == F.col("_rt")) & (F.col("_c") == F.col("_rc")), "left").drop(left["s1"])
+
+    def dot(f: str) -> Column:
+        weight = F.map_from_arrays(F.coalesce(f"r_{f}_grams", F.array().cast("array<bigint>")), F.coalesce(f"r_{f}_w", F.array().cast("array<double>")))
+        terms = F.zip_with(F.coalesce(f"l_{f}_grams", F.array().cast("array<bigint>")), F.coalesce(f"l_{f}_w", F.array().cast("array<double>")), lambda g, w: w * F.coalesce(F.try_element_at(weight, g), F.lit(0.0)))
+        return F.round(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v), DIGITS)
+
+    return both.select(*pairs.columns, *[dot(f).alias(f"cos_{f}") for f in FIELDS])
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and flat values of a list column; null lists are empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    return lengths, column.flatten().to_numpy(zero_copy_only=False)
+
+
+class Postings:
+    """The grams of a block of records with the records and weights that have each."""
+
+    def __init__(self, lengths: np.ndarray, grams: np.ndarray, w: np.ndarray):
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.argsort(grams, kind="stable")
+        self.owner, self.w = owner[order], w[order]
+        self.grams, self.begin, self.count = np.unique(grams[order], return_index=True, return_counts=True)
+
+    def scores(self, lengths: np.ndarray, grams: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """Dot products of some queries with all records, queries x n; a gram at a time in the order of each query."""
+        out = np.zeros(len(lengths) * n)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
+        known = np.flatnonzero(self.grams[at] == grams) if len(self.grams) else np.zeros(0, np.int64)
+        row, at, w = row[known], at[known], w[known]
+        done = np.cumsum(self.count[at]) // PRODUCTS
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(done)) + 1):
+            size = self.count[at[part]]
+            first = np.repeat(self.begin[at[part]] - np.concatenate(([0], np.cumsum(size)))[:-1], size)
+            place = first + np.arange(int(size.sum()))
+            cell = np.repeat(row[part], size) * n + self.owner[place]
+            out += np.bincount(cell, np.repeat(w[part], size) * self.w[place], len(out))
+        return np.round(out.reshape(len(lengths), n), DIGITS)
+
+
+def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest positive scores of each row; ties to the smaller column."""
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+        r, c = np.nonzero((score >= least[:, None]) & (score > 0))
+    else:
+        r, c = np.nonzero(score > 0)
+    order = np.lexsort((c, -score[r, c], r))
+    r, c = r[order], c[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[nth < k], c[nth < k]
+
+
+def _cell(queries: pa.Table, records: pa.Table, k: int, k_reverse: int) -> pa.Table:
+    """The pairs of one cell that are among the best of their query or of their record, by any of the retrievers."""
+    queries, records = queries.sort_by("entity_id"), records.sort_by("entity_id")
+    n, m = queries.num_rows, records.num_rows
+    sides = {f: (_lists(queries[f"{f}_grams"]), _lists(queries[f"{f}_w"])[1], Postings(*_lists(records[f"{f}_grams"]), _lists(records[f"{f}_w"])[1])) for f in FIELDS}
+    step = max(1, CELLS // m)
+    rev: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        cos = {}
+        for f, ((lengths, grams), w, postings) in sides.items():
+            begin = np.concatenate(([0], np.cumsum(lengths)))
+            cos[f] = postings.scores(lengths[a:b], grams[begin[a] : begin[b]], w[begin[a] : begin[b]], m)
+        comb = (cos["name"] + cos["addr"]) / 2
+        taken = np.zeros(comb.shape, dtype=bool)
+        for score in (cos["name"], cos["addr"], comb):
+            taken[best(score, k)] = True
+        for score in (comb, cos["name"]):
+            c, r = best(np.ascontiguousarray(score.T), k_reverse)
+            taken[r, c] = True
+        r, c = np.nonzero(taken)
+        rev.append((r + a, c, cos["name"][r, c], cos["addr"][r, c]))
+    r, c, name, addr = (np.concatenate(x) for x in zip(*rev, strict=True))
+    ids = pa.array(r), pa.array(c)
+    columns = [queries["country"].take(ids[0]), queries["target"].take(ids[0]), queries["entity_id"].take(ids[0]), records["entity_id"].take(ids[1]), pa.array(name), pa.array(addr)]
+    return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["country", "target", "s1", "m", "cos_name", "cos_addr"])
+
+
+def top_pairs(vecs: DataFrame, k: int = K, k_reverse: int = K_REVERSE, query_block: int = QUERY_BLOCK, record_block: int = RECORD_BLOCK) -> DataFrame:
+    """(country, target, s1, m, cos_name, cos_addr, cos_comb) of all pairs that may be among the k best of a query by name, address
+    or both, or among the ``k_reverse`` best of a record by both or by name: a superset of them, of a few rows per text and block."""
+    vecs = stage(vecs)
+    count = lambda where, size: F.greatest(F.lit(1), F.ceil(F.sum(F.expr(f"int({where})")) / size)).cast("int")
+    blocks = vecs.groupBy(*CORPUS).agg(count("src = 'S1'", query_block).alias("nq"), count("src <> 'S1'", record_block).alias("nr"))
+    dealt = vecs.join(small(stage(blocks)), CORPUS)
+    own = lambda c: F.pmod(F.xxhash64("entity_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = [*CORPUS, "entity_id", *[f"{f}_{x}" for f in FIELDS for x in ("grams", "w")]]
+    q = dealt.filter("src = 'S1'").withColumn("bq", own("nq")).withColumn("br", every("nr")).select("bq", "br", *columns)
+    r = dealt.filter("src <> 'S1'").withColumn("br", own("nr")).withColumn("bq", every("nq")).select("bq", "br", *columns).toDF(*[f"r_{c}" for c in ("bq", "br", *columns)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("country", pa.string()), ("target", pa.string()), ("s1", pa.string()), ("m", pa.string()), ("cos_name", pa.float64()), ("cos_addr", pa.float64()))})
+        return _cell(left, right.rename_columns(left.column_names), k, k_reverse)
+
+    key = [*CORPUS, "bq", "br"]
+    pairs = q.groupBy(*key).cogroup(r.groupBy(*[f"r_{c}" for c in key])).applyInArrow(run, "country string, target string, s1 string, m string, cos_name double, cos_addr double")
+    return stage(pairs.withColumn("cos_comb", (F.col("cos_name") + F.col("cos_addr")) / 2))
 
 
 def retrieve(pairs: DataFrame, score: str, by: str, k: int, rank: str) -> DataFrame:
@@ -66,7 +205,7 @@ def candidates(records: DataFrame, queries: DataFrame | None = None, k: int = K,
     Forward retrieval ranks records for each S1, reverse retrieval ranks all S1 for each record, and for records without
     an address also by name alone; only then is the result restricted to ``queries`` (s1).
     """
-    pairs = cosines(weights(corpus(records), max_df))
+    pairs = top_pairs(vectors(weights(corpus(records), max_df)), k, k_reverse)
     no_address = records.filter("src <> 'S1' and addr_norm = ''").select(F.col("entity_id").alias("m"))
     parts = [
         retrieve(pairs, "cos_name", "s1", k, "r").withColumn("retriever", F.lit("name")),
@@ -85,17 +224,63 @@ def candidates(records: DataFrame, queries: DataFrame | None = None, k: int = K,
 
 
 RANKS = ("rank_name", "rank_addr", "rank_comb", "rank_rcomb", "rank_rname")
+#: Ranks at which recall is measured; those above the largest rank found are left out.
+CUTS = (5, 10, 20, 30, 50)
+
+
+def evaluate(found: DataFrame, truth: DataFrame, queries: DataFrame, ks: tuple[int, ...] = CUTS) -> DataFrame:
+    """Long form (scope, value, k, retriever, n_hits, n_candidates, n_true, cands_per_s1, recall_pct) for queries (s1, country).
+
+    Scopes are ``all``, each country of the queries and each source of the records. Each retriever and their union are
+    measured among the first k for the k up to the scope's largest rank; k 0, retriever ``candidates``, is the whole set.
+    Hits are counted by conditional sums in one pass over the candidates.
+    """
+
+    def scoped(df: DataFrame, *keep: str) -> DataFrame:
+        s = [F.struct(F.lit(n).alias("scope"), v.alias("value")) for n, v in (("all", F.lit("")), ("country", F.col("country")), ("source", F.substring("m", 1, 2)))]
+        return df.select(*keep, F.inline(F.array(*s)))
+
+    of = ["scope", "value"]
+    asked = queries.select("s1", "country")
+    real = truth.select("s1", "m").distinct().join(asked, "s1")
+    labelled = found.join(asked, "s1").join(real.select("s1", "m", F.lit(1).alias("hit")), ["s1", "m"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    inside = {(k, r[5:]): F.col(r).between(1, k) for k in ks for r in RANKS}
+    inside |= {(k, "union"): reduce(lambda a, b: a | b, [F.col(r).between(1, k) for r in RANKS]) for k in ks} | {(0, "candidates"): F.lit(True)}
+    cells = []
+    for (k, r), c in inside.items():
+        hits, n = F.sum(F.when(c, F.col("hit")).otherwise(0)).cast("bigint"), F.sum(c.cast("int")).cast("bigint")
+        cells.append(F.struct(F.lit(k).alias("k"), F.lit(r).alias("retriever"), hits.alias("n_hits"), n.alias("n_candidates")))
+    sums = scoped(labelled, "hit", *RANKS).groupBy(*of).agg(F.max(F.greatest(*RANKS)).alias("deepest"), F.array(*cells).alias("cells"))
+    rows = sums.select(*of, "deepest", F.inline("cells")).filter(F.col("k") <= F.col("deepest"))
+    n_true = scoped(real, "s1").groupBy(*of).agg(F.count("*").alias("n_true"))
+    by_country = asked.groupBy("country").agg(F.count("*").alias("n"))
+    n_s1 = by_country.select(F.lit("country").alias("scope"), F.col("country").alias("value"), "n").unionByName(
+        asked.agg(F.count("*").alias("n")).select(F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(v).alias("value"), F.col("n")) for s, v in (("all", ""), ("source", "S2"), ("source", "S3"))])))
+    )
+    # one row per country and source on each side
+    out = rows.join(small(n_true), of, "left").join(small(n_s1), of, "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
+    return out.select(
+        *of, "k", "retriever", "n_hits", "n_candidates", "n_true",
+        F.round(F.try_divide("n_candidates", "n"), 4).alias("cands_per_s1"), F.round(100.0 * F.try_divide("n_hits", "n_true"), 4).alias("recall_pct"),
+    )
+
+
+def neighbours_within(records: DataFrame, state: str, k: int = 50) -> DataFrame:
+    """(s1, m, rank, score): the k nearest records of each S1 of one state by the mean cosine, frequent grams kept."""
+    here = records.filter(F.col("addr_state") == state)
+    pairs = top_pairs(vectors(weights(corpus(here, together=True), 1.0)), k, 1)
+    return retrieve(pairs, "cos_comb", "s1", k, "rank").select("s1", "m", "rank", F.col("cos_comb").alias("score"))
+
+
+def recall_curve(ranked: DataFrame, truth: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 5, 10, 20, 30, 50)) -> DataFrame:
+    """(k, n_hits, n_true, recall_pct): true pairs of the queries (entity_id) that are among their first k."""
+    real = truth.select("s1", "m").join(queries.select(F.col("entity_id").alias("s1")), "s1", "left_semi")
+    hit = real.join(ranked.select("s1", "m", "rank"), ["s1", "m"], "left")
+    sums = hit.agg(F.count("*").alias("n_true"), F.array(*[F.struct(F.lit(k).alias("k"), F.count(F.when(F.col("rank") <= k, 1)).alias("n_hits")) for k in ks]).alias("c"))
+    return sums.select("n_true", F.inline("c")).filter("n_true > 0").select("k", "n_hits", "n_true", F.round(100.0 * F.try_divide("n_hits", "n_true"), 4).alias("recall_pct"))
 
 
-def evaluate(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 30, 50)) -> DataFrame:
-    """Hits of each retriever and of their union among the first k, long form: (k, retriever, n_hits, n_candidates, recall_pct)."""
-    labelled = found.join(truth.select("s1", "m", F.lit(1).alias("hit")), ["s1", "m"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    n_true = truth.agg(F.count("*").alias("n_true"))
-    within = lambda r: F.col(r).between(1, F.col("k"))
-    grid = labelled.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    any_ = within(RANKS[0])
-    for r in RANKS[1:]:
-        any_ = any_ | within(r)
-    long = grid.select("k", "hit", F.inline(F.array(*[F.struct(F.lit(r[5:]).alias("retriever"), within(r).alias("in")) for r in RANKS], F.struct(F.lit("union").alias("retriever"), any_.alias("in")))))
-    sums = long.groupBy("k", "retriever").agg(F.sum(F.when(F.col("in"), F.col("hit")).otherwise(0)).cast("bigint").alias("n_hits"), F.sum(F.col("in").cast("int")).cast("bigint").alias("n_candidates"))
-    return sums.join(F.broadcast(n_true)).select("k", "retriever", "n_hits", "n_candidates", F.round(100.0 * F.try_divide("n_hits", "n_true"), 4).alias("recall_pct"))
+def inspect(pairs: DataFrame, truth: DataFrame, s1: str, n: int = 15) -> DataFrame:
+    """The n best pairs (s1, m, score) of one query with a flag whether they are true."""
+    best_ = pairs.filter(F.col("s1") == s1).orderBy(F.desc("score"), "m").limit(n)
+    return best_.join(truth.select("s1", "m", F.lit(True).alias("is_true")).distinct(), ["s1", "m"], "left").withColumn("is_true", F.coalesce("is_true", F.lit(False)))

@@ -71,9 +71,10 @@ def validate_file(spark: SparkSession, path: str, column: str, required: DataFra
     header = head[0]["value"]
     if "\t" not in header:
         return fatal("comma_header" if "," in header else "wrong_header")
-    if [x.strip().lower() for x in header.split("\t")[:2]] != ["source1_entity_id", column]:
+    if [x.strip().lower() for x in header.split("\t")] != ["source1_entity_id", column]:
         return fatal("wrong_header")
-    body = parsed(lines.filter(F.col("value") != header))
+    again = lines.filter(F.col("value") == header).count() - 1  # a repeated header is a row like others
+    body = parsed(lines.filter(F.col("value") != header).unionByName(spark.range(again).select(F.lit(header).alias("value"))))
     theirs = parsed(spark.read.text(candidates)) if candidates and exists(spark, candidates) else None
     report = validate(body, required, known, theirs)
     errors = report.filter("severity = 'error' and n > 0").limit(1).count()

@@ -87,27 +87,26 @@ def bench_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("i", (F.col("i") + 1).cast("bigint"))
 
 
-# The SQL of null_tokens, script_first_letter, clean_text, fold_accents and alias_split reads prefixes; the queries read whole texts.
 def nullish(rest: str) -> str:
     return f"CASE doc_id % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN ' null ' WHEN 2 THEN '' WHEN 3 THEN '--' WHEN 4 THEN NULL WHEN 5 THEN '<NULL>' ELSE {rest} END"
 
 
-@query(f"SELECT doc_id, {Q.null_test('x')} AS is_null FROM (SELECT doc_id, {nullish('substr(text, 1, 10)')} AS x FROM documents)")
+@query(f"SELECT doc_id, {Q.null_test('x')} AS is_null FROM (SELECT doc_id, {nullish('text')} AS x FROM documents)")
 def null_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.expr(nullish("text")).alias("x")).select("doc_id", X.is_null(F.col("x")).alias("is_null"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 48), '\\p{L}') THEN 'LATIN' ELSE 'NONE' END AS script FROM documents")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\p{L}') THEN 'LATIN' ELSE 'NONE' END AS script FROM documents")
 def script_first_letter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.script_of(F.col("text")).alias("script"))
 
 
-@query(f"SELECT doc_id, {Q.cleaned('substr(text, 1, 200)')} AS clean FROM documents")
+@query(f"SELECT doc_id, {Q.cleaned('text')} AS clean FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
-@query(f"SELECT doc_id, {Q.folded('substr(text, 1, 200)')} AS folded FROM documents")
+@query(f"SELECT doc_id, {Q.folded('text')} AS folded FROM documents")
 def fold_accents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
@@ -132,7 +131,7 @@ def aliased(rest: str) -> str:
     return f"concat(substr(text, 1, 12), CASE doc_id % 5 WHEN 0 THEN ' dba ' WHEN 1 THEN ' d / b / a ' WHEN 2 THEN ' Formerly Known As ' WHEN 3 THEN ' t/a ' ELSE ' ' END, {rest})"
 
 
-@query(f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_parts, p[1] AS first_part FROM (SELECT doc_id, list_filter(string_split_regex({aliased('substr(text, 13, 20)')}, {Q.literal(T.ALIAS)}), lambda x: regexp_matches(x, '\\S')) AS p FROM documents)")
+@query(f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n_parts, p[1] AS first_part FROM (SELECT doc_id, list_filter(string_split_regex({aliased('substr(text, 13)')}, {Q.literal(T.ALIAS)}), lambda x: regexp_matches(x, '\\S')) AS p FROM documents)")
 def alias_split(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").select("doc_id", X.alias_parts(F.expr(aliased("substr(text, 13)"))).alias("p"))
     return p.select("doc_id", F.size("p").alias("n_parts"), F.get("p", F.lit(0)).alias("first_part"))
@@ -349,7 +348,7 @@ SECOND = "coalesce(nth_value(q, 2) OVER (PARTITION BY m ORDER BY q DESC ROWS BET
 windowed("second_best", SECOND, lambda: windows.second_best("q", "m"))
 windowed("margin", f"CASE WHEN q >= max(q) OVER (PARTITION BY m) THEN q - {SECOND} ELSE q - max(q) OVER (PARTITION BY m) END", lambda: windows.margin("q", "m"))
 windowed("group_size", "count(*) OVER (PARTITION BY m)", lambda: windows.group_size("m"))
-windowed("purity_share", "round(q / sum(q) OVER (PARTITION BY s1), 6)", lambda: F.round(F.col("q") / F.sum("q").over(Window.partitionBy("s1")), 6))
+windowed("purity_share", "q / sum(q) OVER (PARTITION BY s1)", lambda: F.col("q") / F.sum("q").over(Window.partitionBy("s1")))
 
 
 @query(f"WITH {EDGES} SELECT m, s1, p FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY p DESC, s1) AS r FROM edges) WHERE r = 1")
@@ -403,7 +402,7 @@ def half_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH r AS (SELECT c_mktsegment AS seg, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), "
+    "WITH r AS (SELECT c_mktsegment AS seg, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY substr(md5(CAST(c_custkey AS VARCHAR)), 1, 2), c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), "
     f"d AS (SELECT DISTINCT seg, n, unnest(range(0, 25)) AS draw FROM r) SELECT d.seg, CAST(draw AS INTEGER) AS draw, c_custkey FROM d JOIN r ON r.seg = d.seg AND r.i = {md5_sql(chr(40) + 'd.seg || ' + chr(39) + ':' + chr(39) + ' || draw' + chr(41), '0')} % d.n"
 )
 def replacement_sample(spark: SparkSession, d: str) -> DataFrame:

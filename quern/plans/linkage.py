@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +14,15 @@ from quern.operators import blocking, features, matcher, metrics, profile, resou
 from quern.plans import sqltext as Q
 from quern.plans.basics import EDGES, REC, edges
 from quern.plans.registry import query
-from quern.runtime import stage, table
-from quern.sources import adapter
+from quern.runtime import scratch_root, stage, table
+from quern.sources import adapter, io
 
 NORM = f"WITH {Q.NORM}"
 
 
-_normalized: dict[tuple[str, str], DataFrame] = {}
-
-
 def normalized(spark: SparkSession, d: str) -> DataFrame:
-    """The normalised records, written once per session and table folder: a stage table that the other steps start from."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _normalized:
-        _normalized[key] = stage(X.normalize(adapter.records(spark, d)))
-    return _normalized[key]
+    """The normalised records, written once for a query: a stage table that the other steps start from."""
+    return stage(X.normalize(adapter.records(spark, d)))
 
 
 # blocking
@@ -39,8 +34,7 @@ KEYS = {
     "first": f"country || '|' || {FIRST}",
     "house_street": "country || '|' || addr_house || '|' || coalesce(list_filter(string_split(addr_norm, ' '), lambda x: x <> '')[2], '')",
 }
-#: The limit in the SQL. The queries take the operator's own, so they have more rows than the SQL where a block is larger.
-LIMIT = 40
+LIMIT = blocking.OVERSIZE
 
 
 def keyed_sql(name: str) -> str:
@@ -103,48 +97,64 @@ def block_precision(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"{NORM}, {', '.join(map(keyed_sql, KEYS))} "
-    + " UNION ALL ".join(f"SELECT '{k}' AS block, key, count(*) AS n FROM k_{k} WHERE src <> 'S1' AND key IN (SELECT key FROM k_{k} WHERE entity_id = 'S1-9') GROUP BY 1, 2" for k in KEYS)
+    + " UNION ALL ".join(f"SELECT '{k}' AS block, key, count(*) AS n FROM k_{k} WHERE src <> 'S1' AND key IN (SELECT key FROM k_{k} WHERE entity_id = 'S1-21') GROUP BY 1, 2" for k in KEYS)
 )
 def block_explain(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.explain(normalized(spark, d), "S1-9")
+    return blocking.explain(normalized(spark, d), "S1-21")
 
 
 # retrieval
 
-TFIDF = f"""{NORM}, texts AS (
+BY_SOURCE = "(SELECT unnest(['S1', 'S1', 'S2', 'S3']) AS s, unnest(['S2', 'S3', 'S2', 'S3']) AS target)"
+TOGETHER = "(SELECT unnest(['S1', 'S2', 'S3']) AS s, 'all' AS target)"
+
+
+def tfidf_sql(records: str = "norm", targets: str = BY_SOURCE, max_df: float = 0.2) -> str:
+    return f"""{NORM}, texts AS (
   SELECT entity_id, src, country, t.target, 'name' AS field, trim(CASE WHEN name_domain <> '' AND NOT contains(replace(name_norm, ' ', ''), name_domain) THEN name_norm || ' ' || name_domain ELSE name_norm END) AS text
-  FROM norm JOIN (SELECT unnest(['S1', 'S1', 'S2', 'S3']) AS s, unnest(['S2', 'S3', 'S2', 'S3']) AS target) t ON t.s = src
-  UNION ALL SELECT entity_id, src, country, t.target, 'addr', addr_norm FROM norm JOIN (SELECT unnest(['S1', 'S1', 'S2', 'S3']) AS s, unnest(['S2', 'S3', 'S2', 'S3']) AS target) t ON t.s = src
+  FROM {records} JOIN {targets} t ON t.s = src
+  UNION ALL SELECT entity_id, src, country, t.target, 'addr', addr_norm FROM {records} JOIN {targets} t ON t.s = src
 ), sizes AS (SELECT country, target, field, count(*) AS n FROM texts GROUP BY 1, 2, 3),
 tf AS (SELECT country, target, field, entity_id, src, gram, count(*) AS tf FROM (SELECT *, unnest({Q.trigrams('text')}) AS gram FROM texts) GROUP BY ALL),
 df AS (SELECT country, target, field, gram, count(*) AS df FROM tf GROUP BY ALL),
-idf AS (SELECT df.*, ln((1 + n) / (1 + df)) + 1 AS idf FROM df JOIN sizes USING (country, target, field) WHERE df >= 2 AND df <= n * 0.2),
+idf AS (SELECT df.*, ln((1 + n) / (1 + df)) + 1 AS idf FROM df JOIN sizes USING (country, target, field) WHERE df >= 2 AND df <= n * {max_df}),
 raw AS (SELECT tf.*, (1 + ln(tf)) * idf AS x FROM tf JOIN idf USING (country, target, field, gram)),
 norms AS (SELECT country, target, field, entity_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY ALL),
 w AS (SELECT raw.*, x / norm AS w FROM raw JOIN norms USING (country, target, field, entity_id))"""
-COSINES = f"""{TFIDF}, cos AS (
+
+
+TFIDF = tfidf_sql()
+
+
+def cosines_sql(weights: str) -> str:
+    return f"""{weights}, cos AS (
   SELECT country, target, q.entity_id AS s1, d.entity_id AS m, round(sum(CASE WHEN field = 'name' THEN q.w * d.w ELSE 0 END), 9) AS cos_name, round(sum(CASE WHEN field = 'addr' THEN q.w * d.w ELSE 0 END), 9) AS cos_addr
   FROM w q JOIN w d USING (country, target, field, gram) WHERE q.src = 'S1' AND d.src <> 'S1' GROUP BY ALL
 ), pairs AS (SELECT *, (cos_name + cos_addr) / 2 AS cos_comb FROM cos)"""
 
 
-@query(f"{TFIDF} SELECT country, target, field, entity_id, gram, round(w, 6) AS w FROM w")
+COSINES = cosines_sql(TFIDF)
+
+
+@query(f"{TFIDF} SELECT country, target, field, entity_id, gram, round(w, 9) AS w FROM w")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    w = retrieval.weights(retrieval.corpus(normalized(spark, d)))
-    return w.select("country", "target", "field", "entity_id", "gram", F.round("w", 6).alias("w"))
+    w = retrieval.unit(retrieval.weights(retrieval.corpus(normalized(spark, d))))
+    return w.select("country", "target", "field", "entity_id", "gram", F.round("w", 9).alias("w"))
 
 
-@query(f"{COSINES} SELECT s1, m, round(cos_name, 6) AS cos_name, round(cos_addr, 6) AS cos_addr FROM pairs")
+@query(f"{COSINES}, {pairs_sql('house_street')} SELECT p.s1, p.m, coalesce(cos_name, 0.0) AS cos_name, coalesce(cos_addr, 0.0) AS cos_addr FROM p_house_street p LEFT JOIN pairs c ON p.s1 = c.s1 AND p.m = c.m")
 def pair_cosine(spark: SparkSession, d: str) -> DataFrame:
-    c = retrieval.cosines(retrieval.weights(retrieval.corpus(normalized(spark, d))))
-    return c.select("s1", "m", F.round("cos_name", 6).alias("cos_name"), F.round("cos_addr", 6).alias("cos_addr"))
+    """The cosines of given pairs, here those that share house number and street."""
+    rec = normalized(spark, d)
+    pairs = blocking.block_pairs(blocking.keyed(rec, blocking.keys()["house_street"]))
+    return retrieval.pair_cosines(pairs, retrieval.vectors(retrieval.weights(retrieval.corpus(rec))))
 
 
 def retrieve_query(name: str, score: str, by: str, k: int) -> None:
     other = "m" if by == "s1" else "s1"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c = retrieval.cosines(retrieval.weights(retrieval.corpus(normalized(spark, d))))
+        c = retrieval.top_pairs(retrieval.vectors(retrieval.weights(retrieval.corpus(normalized(spark, d)))))
         return retrieval.retrieve(c, score, by, k, "rank").select("s1", "m", "rank")
 
     query(f"{COSINES} SELECT s1, m, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country, target, {by} ORDER BY {score} DESC, {other}) AS r FROM pairs WHERE {score} > 0) WHERE r <= {k}", name)(run)
@@ -170,8 +180,8 @@ CANDIDATES = (
 RANKS = "rank_name, rank_addr, rank_comb, rank_rcomb, rank_rname"
 
 
-def found(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.candidates(normalized(spark, d))
+def found(spark: SparkSession, d: str, rec: DataFrame | None = None) -> DataFrame:
+    return retrieval.candidates(normalized(spark, d) if rec is None else rec)
 
 
 @query(f"{CANDIDATES} SELECT s1, m, {RANKS}, round(cos_name, 5) AS cos_name, round(cos_addr, 5) AS cos_addr FROM cand")
@@ -184,16 +194,28 @@ def retrieve_reverse_empty(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, d).filter("rank_rname > 0").select("s1", "m", F.col("rank_rname").cast("int").alias("rank"))
 
 
-ANY = " OR ".join(f"rank_{n} BETWEEN 1 AND k" for n in RETRIEVERS)
+CELLS = [(k, n, f"rank_{n} BETWEEN 1 AND {k}") for k in retrieval.CUTS for n in RETRIEVERS]
+CELLS += [(k, "union", "(" + " OR ".join(f"rank_{n} BETWEEN 1 AND {k}" for n in RETRIEVERS) + ")") for k in retrieval.CUTS] + [(0, "candidates", "true")]
+SCOPES = (("all", "''"), ("country", "country"), ("source", "substr(m, 1, 2)"))
+
+
+def scoped_sql(source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS scope, {v} AS value, * FROM {source}" for s, v in SCOPES)
 
 
 @query(
-    f"{CANDIDATES}, g AS (SELECT c.*, (t.s1 IS NOT NULL)::INT AS hit, k FROM cand c LEFT JOIN truth t ON c.s1 = t.s1 AND c.m = t.m, (SELECT unnest([5, 10, 20, 30, 50]) AS k)), "
-    + "l AS (" + " UNION ALL ".join([f"SELECT k, hit, '{n}' AS retriever, rank_{n} BETWEEN 1 AND k AS inside FROM g" for n in RETRIEVERS] + [f"SELECT k, hit, 'union', {ANY} FROM g"]) + ") "
-    "SELECT k, retriever, CAST(sum(CASE WHEN inside THEN hit ELSE 0 END) AS BIGINT) AS n_hits, CAST(sum(inside::INT) AS BIGINT) AS n_candidates, round(100.0 * sum(CASE WHEN inside THEN hit ELSE 0 END) / nullif((SELECT count(*) FROM truth), 0), 4) AS recall_pct FROM l GROUP BY 1, 2"
+    f"{CANDIDATES}, q AS (SELECT entity_id AS s1, country FROM norm WHERE src = 'S1'), real AS (SELECT DISTINCT s1, m FROM truth), "
+    "lab AS (SELECT c.*, q.country, (t.s1 IS NOT NULL)::INT AS hit FROM cand c JOIN q USING (s1) LEFT JOIN real t ON c.s1 = t.s1 AND c.m = t.m), "
+    f"sc AS ({scoped_sql('lab')}), tr AS (SELECT scope, value, count(*) AS n_true FROM ({scoped_sql('(SELECT real.*, country FROM real JOIN q USING (s1))')}) GROUP BY 1, 2), "
+    "deep AS (SELECT scope, value, max(greatest(rank_name, rank_addr, rank_comb, rank_rcomb, rank_rname)) AS deepest FROM sc GROUP BY 1, 2), "
+    "cells AS (" + " UNION ALL ".join(f"SELECT scope, value, {k} AS k, '{n}' AS retriever, CAST(sum(CASE WHEN {c} THEN hit ELSE 0 END) AS BIGINT) AS n_hits, CAST(sum(({c})::INT) AS BIGINT) AS n_candidates FROM sc GROUP BY 1, 2" for k, n, c in CELLS) + ") "
+    "SELECT scope, value, k, retriever, n_hits, n_candidates, coalesce(n_true, 0) AS n_true, round(n_candidates / (SELECT count(*) FROM q WHERE scope <> 'country' OR q.country = value), 4) AS cands_per_s1, round(100.0 * n_hits / nullif(n_true, 0), 4) AS recall_pct "
+    "FROM cells JOIN deep USING (scope, value) LEFT JOIN tr USING (scope, value) WHERE k <= deepest"
 )
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.evaluate(stage(found(spark, d)), adapter.true_pairs(spark, d))
+    rec = normalized(spark, d)
+    queries = rec.filter("src = 'S1'").select(F.col("entity_id").alias("s1"), "country")
+    return retrieval.evaluate(stage(found(spark, d, rec)), adapter.true_pairs(spark, d), queries)
 
 
 @query(f"{CANDIDATES} SELECT count(c.s1) AS n_hits, count(*) AS n_true, CASE WHEN count(*) = 0 THEN 1.0 ELSE round(count(c.s1) / count(*), 6) END AS recall FROM (SELECT DISTINCT s1, m FROM truth) t LEFT JOIN cand c ON c.s1 = t.s1 AND c.m = t.m")
@@ -201,14 +223,48 @@ def candidate_recall(spark: SparkSession, d: str) -> DataFrame:
     return metrics.candidate_recall(found(spark, d), adapter.true_pairs(spark, d))
 
 
+STATE, ASKED = "oh", "S1-21"
+WITHIN = cosines_sql(tfidf_sql(f"(SELECT * FROM norm WHERE addr_state = '{STATE}')", TOGETHER, 1.0))
+NEAREST = f"{WITHIN}, near AS (SELECT s1, m, row_number() OVER (PARTITION BY country, s1 ORDER BY cos_comb DESC, m) AS rank, cos_comb AS score FROM pairs WHERE cos_comb > 0 QUALIFY rank <= 50)"
+
+
+@query(f"{NEAREST} SELECT s1, m, CAST(rank AS INTEGER) AS rank, score FROM near")
+def neighbours_in_state(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.neighbours_within(normalized(spark, d), STATE)
+
+
+@query(
+    f"{NEAREST} SELECT k, count(n.m) AS n_hits, count(*) AS n_true, round(100.0 * count(n.m) / count(*), 4) AS recall_pct FROM (SELECT unnest([1, 2, 3, 5, 10, 20, 30, 50]) AS k) "
+    f"JOIN (SELECT t.s1, t.m FROM truth t JOIN norm q ON q.entity_id = t.s1 WHERE q.addr_state = '{STATE}') t ON true LEFT JOIN near n ON n.s1 = t.s1 AND n.m = t.m AND n.rank <= k GROUP BY 1"
+)
+def state_recall(spark: SparkSession, d: str) -> DataFrame:
+    rec = normalized(spark, d)
+    return retrieval.recall_curve(retrieval.neighbours_within(rec, STATE), adapter.true_pairs(spark, d), rec.filter(F.col("addr_state") == STATE))
+
+
+@query(
+    f"{COSINES}, best AS (SELECT s1, m, cos_comb AS score FROM pairs WHERE s1 = '{ASKED}' AND cos_comb > 0 QUALIFY row_number() OVER (PARTITION BY target ORDER BY cos_comb DESC, m) <= 20) "
+    "SELECT b.s1, b.m, score, t.m IS NOT NULL AS is_true FROM (SELECT * FROM best ORDER BY score DESC, m LIMIT 15) b LEFT JOIN truth t ON t.s1 = b.s1 AND t.m = b.m"
+)
+def inspect_scores(spark: SparkSession, d: str) -> DataFrame:
+    pairs = retrieval.top_pairs(retrieval.vectors(retrieval.weights(retrieval.corpus(normalized(spark, d)))))
+    best = retrieval.retrieve(pairs, "cos_comb", "s1", retrieval.K, "rank").select("s1", "m", F.col("cos_comb").alias("score"))
+    return retrieval.inspect(best, adapter.true_pairs(spark, d), ASKED)
+
+
 # pair features
 
-PAIRED = f"{NORM}, {pairs_sql('first')}, pr AS (SELECT p.s1, p.m, " + ", ".join(f"l.{c} AS l_{c}, r.{c} AS r_{c}" for c in features.FIELDS) + " FROM p_first p JOIN norm l ON l.entity_id = s1 JOIN norm r ON r.entity_id = m)"
+#: Pairs that share the first word, and the true pairs, which differ in more ways.
+PAIRED = f"{NORM}, {pairs_sql('first')}, pr AS (SELECT p.s1, p.m, " + ", ".join(f"l.{c} AS l_{c}, r.{c} AS r_{c}" for c in features.FIELDS) + " FROM (SELECT s1, m FROM p_first UNION SELECT s1, m FROM truth) p JOIN norm l ON l.entity_id = s1 JOIN norm r ON r.entity_id = m)"
+
+
+def pairs_of(spark: SparkSession, d: str, rec: DataFrame) -> DataFrame:
+    return blocking.union_pairs([blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"])), adapter.true_pairs(spark, d).select("s1", "m")])
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
-    return features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"])), rec)
+    return features.paired(pairs_of(spark, d, rec), rec)
 
 
 def pair_query(name: str, sql: str, column, digits: int | None = 6) -> None:
@@ -222,7 +278,6 @@ def col2(a: str) -> tuple:
     return F.col(f"l_{a}"), F.col(f"r_{a}")
 
 
-SHORT = {c: f"substr({{}}_{c}, 1, 60)" for c in ("name_core", "name_norm", "addr_norm")}
 pair_query("sim_ratio", Q.ratio("l_name_core", "r_name_core"), lambda: S.ratio(*col2("name_core"), True))
 
 
@@ -230,28 +285,60 @@ def sorted_words(x: str) -> str:
     return f"array_to_string(list_sort({Q.words(x)}), ' ')"
 
 
-@query(f"{PAIRED}, st AS (SELECT s1, m, {sorted_words('l_name_core')} AS a, {sorted_words('r_name_core')} AS b FROM pr) SELECT s1, m, round({Q.ratio('a', 'b')}, 6) AS sim_token_sort FROM st")
-def sim_token_sort(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).select("s1", "m", F.round(S.token_sort_ratio(*col2("name_core"), True), 6).alias("sim_token_sort"))
+def missing(sql: str, where: str | None) -> str:
+    return f"CASE WHEN {where} = '' THEN -1.0 ELSE {sql} END" if where else sql
 
 
-@query(
-    f"{PAIRED}, ts AS (SELECT s1, m, list_distinct({Q.words('l_name_core')}) AS x, list_distinct({Q.words('r_name_core')}) AS y FROM pr), "
-    "tt AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS i, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS da, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS db FROM ts), "
-    "tu AS (SELECT *, CASE WHEN i = '' THEN da WHEN da = '' THEN i ELSE i || ' ' || da END AS wa, CASE WHEN i = '' THEN db WHEN db = '' THEN i ELSE i || ' ' || db END AS wb FROM tt) "
-    f"SELECT s1, m, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN i <> '' AND (da = '' OR db = '') THEN 100.0 WHEN i = '' THEN {Q.ratio('wa', 'wb')} "
-    f"ELSE greatest({Q.ratio('wa', 'wb')}, 200.0 * length(i) / (length(i) + length(wa)), 200.0 * length(i) / (length(i) + length(wb))) END, 6) AS sim_token_set FROM tu"
-)
-def sim_token_set(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).select("s1", "m", F.round(S.token_set_ratio(*col2("name_core"), True), 6).alias("sim_token_set"))
+def feature_query(name: str, sql: str, feature: str) -> None:
+    """One of the string features of pairs."""
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return paired(spark, d).select("s1", "m", features.string_features()[feature].alias(name))
 
-pair_query("sim_jaro_winkler", "CASE WHEN l_name_core = '' AND r_name_core = '' THEN 1.0 ELSE jaro_winkler_similarity(l_name_core, r_name_core) END", lambda: S.jaro_winkler(*col2("name_core")))
+    query(sql, name)(run)
 
 
-@query()
-def sim_partial(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).select("s1", "m", F.round(S.partial_ratio(*col2("name_core")), 6).alias("sim_partial"))
+def token_sort_query(name: str, feature: str, a: str, b: str, unless: str | None = None) -> None:
+    feature_query(name, f"{PAIRED}, st AS (SELECT s1, m, {unless or chr(39) + '-' + chr(39)} AS u, {sorted_words(a)} AS a, {sorted_words(b)} AS b FROM pr) SELECT s1, m, {missing(Q.ratio('a', 'b'), 'u')} AS {name} FROM st", feature)
+
+
+def token_set_query(name: str, feature: str, a: str, b: str, unless: str | None = None) -> None:
+    value = (
+        f"CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN i <> '' AND (da = '' OR db = '') THEN 100.0 WHEN i = '' THEN {Q.ratio('wa', 'wb')} "
+        f"ELSE greatest({Q.ratio('wa', 'wb')}, 200.0 * length(i) / (length(i) + length(wa)), 200.0 * length(i) / (length(i) + length(wb))) END"
+    )
+    feature_query(
+        name,
+        f"{PAIRED}, ts AS (SELECT s1, m, {unless or chr(39) + '-' + chr(39)} AS u, list_distinct({Q.words(a)}) AS x, list_distinct({Q.words(b)}) AS y FROM pr), "
+        "tt AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS i, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS da, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS db FROM ts), "
+        "tu AS (SELECT *, CASE WHEN i = '' THEN da WHEN da = '' THEN i ELSE i || ' ' || da END AS wa, CASE WHEN i = '' THEN db WHEN db = '' THEN i ELSE i || ' ' || db END AS wb FROM tt) "
+        f"SELECT s1, m, {missing(value, 'u')} AS {name} FROM tu",
+        feature,
+    )
+
+
+def partial_query(name: str, feature: str, a: str, b: str, unless: str | None = None) -> None:
+    feature_query(
+        name,
+        f"{PAIRED}, pa AS (SELECT s1, m, {unless or chr(39) + '-' + chr(39)} AS u, {a} AS a, {b} AS b FROM pr), pb AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM pa) "
+        f"SELECT s1, m, {missing(Q.partial('sh', 'lo'), 'u')} AS {name} FROM pb",
+        feature,
+    )
+
+
+SQUASHED = "replace(l_name_norm, ' ', '')"
+token_sort_query("sim_token_sort", "nm_tsort", "l_name_core", "r_name_core")
+token_sort_query("sim_addr_token_sort", "ad_tsort", "l_addr_norm", "r_addr_norm", "r_addr_norm")
+token_set_query("sim_token_set", "nm_tset", "l_name_core", "r_name_core")
+token_set_query("sim_full_token_set", "nm_full_tset", "l_name_norm", "r_name_norm")
+token_set_query("sim_alias", "alias_ratio", "l_name_core", "r_name_alias", "r_name_alias")
+token_set_query("sim_addr_token_set", "ad_tset", "l_addr_norm", "r_addr_norm", "r_addr_norm")
+partial_query("sim_partial", "nm_partial", "l_name_core", "r_name_core")
+partial_query("sim_domain", "dom_ratio", SQUASHED, "r_name_domain", "r_name_domain")
+partial_query("sim_addr_partial", "ad_partial", "l_addr_norm", "r_addr_norm", "r_addr_norm")
+
+
+pair_query("sim_jaro_winkler", "CASE WHEN l_name_core = '' AND r_name_core = '' THEN 1.0 ELSE jaro_winkler_similarity(l_name_core, r_name_core) END", lambda: S.jaro_winkler(*col2("name_core")))
 
 
 JACCARD = "CAST(len(list_intersect(x, y)) AS DOUBLE) / nullif(len(list_distinct(list_concat(x, y))), 0)"
@@ -262,7 +349,6 @@ def number_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return paired(spark, d).select("s1", "m", F.round(S.number_jaccard(*col2("addr_numbers")), 6).alias("number_jaccard"))
 
 
-ADJUSTED = "('h' || (o_orderkey % 113))"
 pair_query("house_match", "CASE WHEN l_addr_house = '' OR r_addr_house = '' THEN -1 WHEN l_addr_house = r_addr_house THEN 2 WHEN starts_with(l_addr_house, r_addr_house) OR ends_with(l_addr_house, r_addr_house) OR starts_with(r_addr_house, l_addr_house) OR ends_with(r_addr_house, l_addr_house) THEN 1 ELSE 0 END", lambda: S.house_match(*col2("addr_house")), None)
 
 
@@ -286,11 +372,12 @@ def field_eq(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"{PAIRED} SELECT s1, m, CAST(length(l_name_core) - length(replace(l_name_core, ' ', '')) + 1 AS INTEGER) AS nm_ntok_l, CAST(length(r_name_core) - length(replace(r_name_core, ' ', '')) - length(l_name_core) + length(replace(l_name_core, ' ', '')) AS INTEGER) AS nm_ntok_diff, "
-    "round((length(r_addr_norm) - length(replace(r_addr_norm, ' ', '')) + 1) / (length(l_addr_norm) - length(replace(l_addr_norm, ' ', '')) + 1), 6) AS ad_ntok_ratio, (l_name_core = r_name_core)::INT AS nm_exact, (r_addr_norm = '')::INT AS r_addr_empty, (m LIKE 'S3%')::INT AS src_s3 FROM pr"
+    "round((length(r_addr_norm) - length(replace(r_addr_norm, ' ', '')) + 1) / (length(l_addr_norm) - length(replace(l_addr_norm, ' ', '')) + 1), 6) AS ad_ntok_ratio, (l_name_core = r_name_core)::INT AS nm_exact, (r_addr_norm = '')::INT AS r_addr_empty, (m LIKE 'S3%')::INT AS src_s3, "
+    "(string_split(l_name_core, ' ')[1] = string_split(r_name_core, ' ')[1] AND l_name_core <> '')::INT AS nm_first_eq, r_name_is_translit::INT AS r_translit, (r_name_core = '')::INT AS r_name_empty FROM pr"
 )
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     f = features.simple_features()
-    return paired(spark, d).select("s1", "m", f["nm_ntok_l"].alias("nm_ntok_l"), f["nm_ntok_diff"].alias("nm_ntok_diff"), F.round(f["ad_ntok_ratio"], 6).alias("ad_ntok_ratio"), *[f[c].alias(c) for c in ("nm_exact", "r_addr_empty", "src_s3")])
+    return paired(spark, d).select("s1", "m", f["nm_ntok_l"].alias("nm_ntok_l"), f["nm_ntok_diff"].alias("nm_ntok_diff"), F.round(f["ad_ntok_ratio"], 6).alias("ad_ntok_ratio"), *[f[c].alias(c) for c in ("nm_exact", "r_addr_empty", "src_s3", "nm_first_eq", "r_translit", "r_name_empty")])
 
 
 IDF = (
@@ -307,22 +394,24 @@ IDF = (
 def idf_overlap(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
     idf = stage(features.token_idf(features.idf_texts(rec)))
-    pairs = features.paired(blocking.block_pairs(blocking.keyed(rec, blocking.keys()["first"])), features.with_idf_map(rec, idf))
+    pairs = features.paired(pairs_of(spark, d, rec), features.with_idf_map(rec, idf))
     f = features.idf_features(F.lit(idf.agg(F.max("idf")).first()[0]))
     return pairs.select("s1", "m", *[F.round(f[c], 6).alias(c) for c in ("nm_idf_cov_l", "nm_idf_jac", "nm_idf_cov_r")])
 
 
-@query(f"{PAIRED} SELECT s1, m, (r_name_domain <> '')::INT AS has_domain, (r_name_alias <> '')::INT AS has_alias FROM pr")
-def alias_domain(spark: SparkSession, d: str) -> DataFrame:
-    f = features.string_features()
-    p = paired(spark, d).select("s1", "m", f["dom_ratio"].alias("dom_ratio"), f["alias_ratio"].alias("alias_ratio"))
-    return p.select("s1", "m", (F.col("dom_ratio") >= 0).cast("int").alias("has_domain"), (F.col("alias_ratio") >= 0).cast("int").alias("has_alias"))
+@query(
+    f"{CANDIDATES} SELECT s1, m, " + ", ".join(f"CAST(CASE WHEN rank_{n} = 0 THEN 99 ELSE rank_{n} END AS SMALLINT) AS rank_{n}" for n in RETRIEVERS)
+    + ", " + " + ".join(f"(rank_{n} > 0)::INT" for n in RETRIEVERS) + " AS n_retrievers, (cos_name::DOUBLE + cos_addr::DOUBLE) / 2 AS cos_mean FROM cand"
+)
+def rank_features(spark: SparkSession, d: str) -> DataFrame:
+    c = found(spark, d).withColumns({c: F.col(c).cast("double") for c in ("cos_name", "cos_addr")})
+    return c.select("s1", "m", *[v.alias(k) for k, v in features.retrieval_features(c.columns).items()])
 
 
 @query()
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
     rec = normalized(spark, d)
-    return features.pair_features(stage(found(spark, d)), rec)
+    return features.pair_features(stage(found(spark, d, rec)), rec)
 
 
 # decisions
@@ -393,27 +482,43 @@ def f05_by_country(spark: SparkSession, d: str) -> DataFrame:
     return metrics.f05_curve(scored(spark, d), counted(spark, d).join(brand, "s1"), (0.5,), "brand")
 
 
-@query(f"{OWNERS} SELECT count(*) AS n_kept, CAST(coalesce(sum(label), 0) AS BIGINT) AS n_right FROM own WHERE p >= 0.5")
+@query(
+    f"{OWNERS} SELECT count(*) AS n_kept, CAST(coalesce(sum(label), 0) AS BIGINT) AS n_right, (SELECT count(*) FROM sc WHERE label = 1) AS n_true, "
+    "round(sum(label) / count(*), 6) AS pair_precision, round(sum(label) / (SELECT count(*) FROM sc WHERE label = 1), 6) AS pair_recall FROM own WHERE p >= 0.5"
+)
 def pair_pr(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.pair_precision_recall(scored(spark, d), 0, 0.5)
+    sc = scored(spark, d)
+    return metrics.pair_precision_recall(sc, sc.filter("label = 1").select("s1", "m"), 0.5)
 
 
 # learned dictionaries
 
-NATIVE = {"महाराष्ट्र": "Maharashtra", "गुजरात": "Gujarat", "কলকাতা": "West Bengal"}
+NATIVE = {"महाराष्ट्र": "Maharashtra", "गुजरात": "Gujarat", "कर्नाटक": "Karnataka"}
+#: By customer: an address with a state in English and, in native script, the same state or, for some, another one.
 
 
-@query()
+@query(
+    f"WITH r AS (SELECT c_custkey % 3 AS i, CASE WHEN c_custkey % 9 = 4 OR c_nationkey = 3 THEN (c_custkey + 1) % 3 ELSE c_custkey % 3 END AS j FROM customer), p AS (SELECT {Q.sql_list(NATIVE)}[j + 1] AS key, {Q.sql_map(Q.T.STATES)}[lower({Q.sql_list(NATIVE.values())}[i + 1])] AS value FROM r), "
+    "c AS (SELECT key, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY key) AS total FROM p GROUP BY 1, 2) SELECT key, value FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, value) = 1 AND n >= 5 AND n >= total * 0.8"
+)
 def learn_states(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, NATIVE)), F.array(*map(F.lit, NATIVE.values()))
-    i = (F.col("c_nationkey") % 3).cast("int")
-    rows = table(spark, d, "customer").select(F.concat(F.lit("12 Main Road, "), F.get(names[1], i)).alias("s1_addr"), F.concat(F.lit("12 Main Road, "), F.get(names[0], i)).alias("m_addr"))
+    native, names = F.array(*map(F.lit, NATIVE)), F.array(*map(F.lit, NATIVE.values()))
+    i = (F.col("c_custkey") % 3).cast("int")
+    other = F.expr("c_custkey % 9 = 4 OR c_nationkey = 3")
+    j = F.when(other, (F.col("c_custkey") + 1) % 3).otherwise(F.col("c_custkey") % 3).cast("int")
+    street = F.concat(F.col("c_nationkey").cast("string"), F.lit(" Main Road, "))
+    rows = table(spark, d, "customer").select(F.concat(street, F.get(names, i)).alias("s1_addr"), F.concat(street, F.get(native, j)).alias("m_addr"))
     return resources.learn_states(rows)
 
 
-@query()
+@query(
+    f"WITH r AS (SELECT lower(c_mktsegment) AS seg, CASE WHEN c_nationkey % 4 = 1 THEN 'limited' ELSE 'private' END AS second FROM customer), t AS (SELECT seg AS value, {Q.skeleton('seg')} AS s FROM r UNION ALL SELECT second, {Q.skeleton(Q.literal(X.romanize_text('प्राइवेट')))} FROM r), "
+    "k AS (SELECT substr(s, 1, 1) || regexp_replace(substr(s, 2), '[aeiouy]', '', 'g') AS key, value FROM t), c AS (SELECT key, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY key) AS total FROM k GROUP BY 1, 2) "
+    "SELECT key, value FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, value) = 1 AND n >= 3 AND n >= total * 0.6"
+)
 def learn_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit(" Private Marketing")).alias("s1_name"), F.concat("c_mktsegment", F.lit(" प्राइवेट मार्केटिंग")).alias("m_name"))
+    second = F.when(F.col("c_nationkey") % 4 == 1, F.lit(" Limited")).otherwise(F.lit(" Private"))
+    rows = table(spark, d, "customer").select(F.concat("c_mktsegment", second).alias("s1_name"), F.concat("c_mktsegment", F.lit(" प्राइवेट")).alias("m_name"))
     return resources.learn_tokens(rows)
 
 
@@ -425,6 +530,64 @@ def shared_names(spark: SparkSession, d: str) -> DataFrame:
     return profile.shared_names(normalized(spark, d))
 
 
+@query(f"{NORM} SELECT name_core, count(*) AS n FROM norm WHERE src = 'S1' GROUP BY 1 ORDER BY n DESC, name_core LIMIT 15")
+def top_shared_names(spark: SparkSession, d: str) -> DataFrame:
+    return profile.top_names(normalized(spark, d))
+
+
+MATCHES = f"{REC}, nm AS (SELECT entity_id AS s1, country, (SELECT count(*) FROM truth t WHERE t.s1 = entity_id) AS n_true FROM rec WHERE src = 'S1')"
+
+
+def matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """S1 with their numbers of matches, and the true pairs."""
+    s1 = adapter.records(spark, d).filter("src = 'S1'").select(F.col("entity_id").alias("s1"), "country")
+    truth = stage(adapter.true_pairs(spark, d))
+    return s1.join(metrics.truth_counts(s1.select("s1"), truth), "s1"), truth
+
+
+@query(
+    f"{MATCHES} SELECT country, count(*) AS n, round(avg(n_true), 4) AS mean, round(stddev_samp(n_true), 4) AS std, min(n_true) AS least, "
+    + ", ".join(f"quantile_cont(n_true, {p}) AS p{int(100 * p)}" for p in (0.25, 0.5, 0.75)) + ", max(n_true) AS most FROM nm GROUP BY 1"
+)
+def cluster_size_by_country(spark: SparkSession, d: str) -> DataFrame:
+    return profile.cluster_sizes(matches(spark, d)[0], "country")
+
+
+@query(
+    f"{MATCHES}, c AS (SELECT s1, substr(m, 1, 2) AS src, count(*) AS n FROM truth GROUP BY 1, 2) SELECT 'all' AS src, n_true AS size, count(*) AS n FROM nm GROUP BY 2 "
+    "UNION ALL SELECT s.src, coalesce(c.n, 0), count(*) FROM nm JOIN (SELECT unnest(['S2', 'S3']) AS src) s ON true LEFT JOIN c ON c.s1 = nm.s1 AND c.src = s.src GROUP BY 1, 2"
+)
+def cluster_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return profile.cluster_histogram(*matches(spark, d))
+
+
+@query(f"{REC} SELECT entity_id, src, business_name, business_address FROM rec WHERE entity_id = '{ASKED}' OR entity_id IN (SELECT m FROM truth WHERE s1 = '{ASKED}')")
+def show_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return profile.cluster(adapter.records(spark, d), adapter.true_pairs(spark, d), ASKED).select("entity_id", "src", "business_name", "business_address")
+
+
+@query(f"{NORM} SELECT CASE WHEN name_legal = '' THEN '<none>' ELSE name_legal END AS name_legal, count(*) AS n, round(100.0 * avg((entity_id NOT IN (SELECT s1 FROM truth))::INT), 4) AS singleton_pct FROM norm WHERE src = 'S1' GROUP BY 1 ORDER BY singleton_pct DESC, name_legal LIMIT 12")
+def singletons_by_legal(spark: SparkSession, d: str) -> DataFrame:
+    rec = normalized(spark, d)
+    return profile.singletons_by_legal(rec, metrics.truth_counts(rec.filter("src = 'S1'").select(F.col("entity_id").alias("s1")), adapter.true_pairs(spark, d).select("s1", "m")))
+
+
+@query(f"{REC}, c AS (SELECT country, count(*) FILTER (WHERE src = 'S1') AS n_s1, count(*) FILTER (WHERE src <> 'S1') AS n_other FROM rec GROUP BY ROLLUP (country)) SELECT country, n_s1, n_other, CAST(n_s1 * n_other AS DOUBLE) AS n_pairs, (n_s1 * n_other) / 86400e6 AS days FROM c")
+def comparison_space(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.comparison_space(adapter.records(spark, d))
+
+
+@query(f"{REC} SELECT entity_id, business_name, business_address, country FROM rec WHERE src <> 'S1' AND entity_id NOT IN (SELECT m FROM truth) ORDER BY entity_id LIMIT 40")
+def example_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The first 40 records that match nothing, written as CSV and read again."""
+    rec = adapter.records(spark, d).filter("src <> 'S1'")
+    lone = rec.join(adapter.true_pairs(spark, d).select(F.col("m").alias("entity_id")), "entity_id", "left_anti")
+    path = f"{scratch_root(spark)}/quern/{uuid.uuid4().hex}"
+    columns = ["entity_id", "business_name", "business_address", "country"]
+    io.write_examples(lone.select(*columns), path, ["entity_id"])
+    return io.read_examples(spark, path, columns)
+
+
 def share_sql(cond: str) -> str:
     return f"round(100.0 * sum((lone AND {cond})::INT) / nullif(sum(lone::INT), 0), 4)"
 
@@ -474,9 +637,28 @@ def noise_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.noise(adapter.records(spark, d))
 
 
-@query(f"{PAIRED} SELECT count(*) AS n, round(100.0 * avg((l_name_norm = r_name_norm)::INT), 4) AS same_name FROM pr")
+PROFILE_FLAGS = {
+    "name_core_exact": "l_name_core = r_name_core", "addr_empty": "r_addr_norm = ''", "house_eq": "l_addr_house = r_addr_house AND l_addr_house <> ''", "state_eq": "l_addr_state = r_addr_state AND l_addr_state <> ''",
+    "state_missing": "r_addr_state = ''", "is_translit": "r_name_is_translit", "has_alias": "r_name_alias <> ''", "legal_eq": "l_name_legal = r_name_legal",
+}
+TRUE_PAIRED = f"{NORM}, pr AS (SELECT substr(t.m, 1, 2) AS src, t.country, " + ", ".join(f"l.{c} AS l_{c}, r.{c} AS r_{c}" for c in features.FIELDS) + " FROM truth t JOIN norm l ON l.entity_id = s1 JOIN norm r ON r.entity_id = m)"
+CORE_JACCARD = f"CASE WHEN len({Q.words('l_name_core')}) = 0 OR len({Q.words('r_name_core')}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({Q.words('l_name_core')}, {Q.words('r_name_core')})) AS DOUBLE) / len(list_distinct(list_concat({Q.words('l_name_core')}, {Q.words('r_name_core')}))) END"
+
+
+def profiled(spark: SparkSession, d: str) -> DataFrame:
+    """The true pairs with the columns of the pair profile, and the source and country of m."""
+    rec = normalized(spark, d)
+    sides = [rec.select(F.col("entity_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in rec.columns if c != "entity_id"]) for k, p in (("s1", "l"), ("m", "r"))]
+    pairs = profile.pair_similarities(adapter.true_pairs(spark, d).select("s1", "m").join(sides[0], "s1").join(sides[1], "m"))
+    return pairs.withColumns({"src": F.col("r_src"), "country": F.col("r_country")})
+
+
+@query(
+    f"{TRUE_PAIRED}, v AS (SELECT src, country, {CORE_JACCARD} AS jac, {', '.join(f'({c})::INT AS {n}' for n, c in PROFILE_FLAGS.items())} FROM pr) SELECT src, country, count(*) AS n, round(avg(jac), 4) AS name_core_jac_mean, round(quantile_cont(jac, .1), 4) AS name_core_jac_p10, round(quantile_cont(jac, .5), 4) AS name_core_jac_p50, "
+    + ", ".join(f"round(100.0 * avg({n}), 4) AS {n}_pct" for n in PROFILE_FLAGS) + " FROM v GROUP BY GROUPING SETS ((src, country), ())"
+)
 def pair_profile(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).agg(F.count("*").alias("n"), profile.rate(F.col("l_name_norm") == F.col("r_name_norm")).alias("same_name"))
+    return profile.describe(profiled(spark, d), ["name_core_jac"], [*PROFILE_FLAGS], ["src", "country"])
 
 
 @query(
@@ -498,18 +680,13 @@ def describe_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pair_similarities(spark: SparkSession, d: str) -> DataFrame:
-    rec = normalized(spark, d)
-    truth = adapter.true_pairs(spark, d)
-    sides = [rec.select(F.col("entity_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in rec.columns if c not in ("entity_id", "doc_id")]) for k, p in (("s1", "l"), ("m", "r"))]
-    pairs = profile.pair_similarities(truth.select("s1", "m").join(sides[0], "s1").join(sides[1], "m"))
-    numbers = [c for c in pairs.columns if c.endswith(("_tsr", "_jac"))]
-    flags = ["name_core_exact", "addr_empty", "house_eq", "state_eq", "state_missing", "is_translit", "has_alias", "legal_eq"]
-    return profile.describe(pairs.withColumn("src", F.col("r_src")).withColumn("country", F.col("r_country")), numbers, flags, ["src", "country"])
+    pairs = profiled(spark, d)
+    return profile.describe(pairs, [c for c in pairs.columns if c.endswith(("_tsr", "_jac"))], [*PROFILE_FLAGS], ["src", "country"])
 
 
 def _negatives_sql() -> str:
     side = lambda n, where, seed: (
-        f"{n}r AS (SELECT country, entity_id, row_number() OVER (PARTITION BY country ORDER BY entity_id) - 1 AS i, count(*) OVER (PARTITION BY country) AS n FROM rec WHERE {where}), "
+        f"{n}r AS (SELECT country, entity_id, row_number() OVER (PARTITION BY country ORDER BY substr(md5(entity_id), 1, 2), entity_id) - 1 AS i, count(*) OVER (PARTITION BY country) AS n FROM rec WHERE {where}), "
         f"{n} AS (SELECT d.country, draw, r.entity_id FROM (SELECT DISTINCT country, n, unnest(range(0, 50)) AS draw FROM {n}r) d JOIN {n}r r ON r.country = d.country AND r.i = ('0x' || substr(md5(d.country || ':' || draw || '{seed}'), 1, 8))::BIGINT % d.n)"
     )
     return f"{REC}, {side('a', chr(34) + 'src' + chr(34) + ' = ' + chr(39) + 'S1' + chr(39), 0)}, {side('b', chr(34) + 'src' + chr(34) + ' <> ' + chr(39) + 'S1' + chr(39), 1)} SELECT a.country, CAST(a.draw AS INTEGER) AS draw, a.entity_id AS s1, b.entity_id AS m FROM a JOIN b ON a.country = b.country AND a.draw = b.draw"
@@ -540,7 +717,7 @@ RULES = {
 
 def lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     o = table(spark, d, "orders")
-    rows = validate.parsed(o.select(F.expr(BROKEN.replace("||", "||")).alias("value")))
+    rows = validate.parsed(o.select(F.expr(BROKEN).alias("value")))
     required = o.filter("o_orderkey % 7 < 5").select(F.concat(F.lit("S1-"), F.col("o_orderkey").cast("string")).alias("s1"))
     c = table(spark, d, "customer")
     known = reduce(DataFrame.unionByName, [c.select(F.concat(F.lit(p), F.col("c_custkey").cast("string")).alias("id")) for p in ("S2-", "S3-")])

@@ -70,3 +70,13 @@ def write_json(table: DataFrame, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def write_examples(rows: DataFrame, path: str, order: Sequence[str], n: int = 40) -> None:
+    """The first ``n`` rows in an order as one CSV file with a header."""
+    rows.orderBy(*order).limit(n).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_examples(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A CSV table of strings; an empty cell is null."""
+    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).option("escape", '"').csv(path)

@@ -107,3 +107,48 @@ def test_features_and_two_pass_model(spark, tmp_path):
     a, b = (sorted(map(tuple, m.match(rows.drop("fold", "label")).select("s1", F.array_join("matched", ",")).collect())) for m in (model, again))
     assert a == b
     assert sum(x[1] for x in matcher.importances(model.second, matcher.second_columns(model.columns), 60)) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_blocked_products_equal_all_pairs(spark, monkeypatch):
+    """Small blocks, small score matrices and many ties give the same best pairs as all products of the weights."""
+    rec = stage(normalized(spark, SF).limit(140))
+    raw = stage(retrieval.weights(retrieval.corpus(rec)))
+    w = retrieval.unit(raw).select("country", "target", "field", "entity_id", "src", "gram", "w").toPandas()
+    sums = {}
+    for (c, t, f, g), part in w.groupby(["country", "target", "field", "gram"]):
+        q, r = part[part.src == "S1"], part[part.src != "S1"]
+        for a, x in zip(q.entity_id, q.w, strict=True):
+            for b, y in zip(r.entity_id, r.w, strict=True):
+                sums.setdefault((c, t, a, b), {"name": 0.0, "addr": 0.0})[f] += x * y
+    monkeypatch.setattr(retrieval, "CELLS", 64)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 50)
+    pairs = retrieval.top_pairs(retrieval.vectors(raw), 4, 2, query_block=3, record_block=7)
+    assert pairs.count() == pairs.select("s1", "m").distinct().count()
+    for score, by, k in (("cos_name", "s1", 4), ("cos_addr", "s1", 4), ("cos_comb", "s1", 4), ("cos_comb", "m", 2), ("cos_name", "m", 2)):
+        value = lambda v, s=score: round((round(v["name"], 9) + round(v["addr"], 9)) / 2, 10) if s == "cos_comb" else round(v[s[4:]], 9)
+        groups = {}
+        for (c, t, a, b), v in sums.items():
+            if value(v) > 0:
+                groups.setdefault((c, t, a if by == "s1" else b), []).append((-value(v), b if by == "s1" else a))
+        want = {(key[2], other, i + 1) for key, rows in groups.items() for i, (_, other) in enumerate(sorted(rows)[:k])}
+        got = {(r[by], r["m" if by == "s1" else "s1"], r["rank"]) for r in retrieval.retrieve(pairs, score, by, k, "rank").collect()}
+        assert got == want, (score, by)
+
+
+def test_header_of_three_columns_and_repeated_header(spark, tmp_path):
+    required = spark.createDataFrame([("S1-1",)], "s1 string")
+    (tmp_path / "a.tsv").write_text("source1_entity_id\tmatched_entity_ids\tscore\nS1-1\t\n")
+    code, report = validate.validate_file(spark, f"file://{tmp_path}/a.tsv", "matched_entity_ids", required)
+    assert code == 1 and report.first()["rule"] == "wrong_header"
+    (tmp_path / "b.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\t\nsource1_entity_id\tmatched_entity_ids\n")
+    code, report = validate.validate_file(spark, f"file://{tmp_path}/b.tsv", "matched_entity_ids", required)
+    assert code == 1 and {r["rule"]: r["n"] for r in report.collect()}["extra_s1"] == 1
+
+
+def test_draws_with_replacement(spark):
+    rows = [("a", i) for i in range(300)] + [("b", 7)]
+    drawn = sampling.with_replacement(spark.createDataFrame(rows, "k string, i long"), "k", "i", 40).collect()
+    assert sorted((r["k"], r["draw"]) for r in drawn) == [(k, d) for k in "ab" for d in range(40)]
+    assert {r["i"] for r in drawn if r["k"] == "b"} == {7} and len({r["i"] for r in drawn if r["k"] == "a"}) > 25
+    again = sampling.with_replacement(spark.createDataFrame(rows[::-1], "k string, i long"), "k", "i", 40).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))

@@ -1,4 +1,4 @@
-"""Queries that go beyond the cuts in their SQL, against brute force on small tables."""
+"""Queries on whole texts and large blocks, against brute force on small tables."""
 
 from __future__ import annotations
 
@@ -6,20 +6,26 @@ import pytest
 
 from quern.plans import basics, linkage  # noqa: F401
 from quern.plans.registry import QUERIES
+from quern.sources import adapter
 
 SF = "/root/testdata/sf0.001"
 
 
-def write(spark, folder, rows) -> str:
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    docs.write.parquet(f"{folder}/documents.parquet")
+def write(spark, folder, rows, name="documents", schema="doc_id long, text string, lang string") -> str:
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
-@pytest.fixture(scope="module")
-def blocks(spark, tmp_path_factory):
+@pytest.fixture
+def blocks(monkeypatch):
     """30 rows in S1 and 60 in S2 and S3 under one first word."""
-    return write(spark, tmp_path_factory.mktemp("blocks"), [(i, f"acme works{i}".ljust(48) + f"{i} high street", "en") for i in range(90)])
+    def records(spark, d):
+        rows = [(f"S{1 + i % 3}-{i}", f"acme works{i}", f"{i} high street", "us", f"S{1 + i % 3}") for i in range(90)]
+        return spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string, src string")
+
+    monkeypatch.setattr(adapter, "records", records)
+    monkeypatch.setattr(adapter, "true_pairs", lambda spark, d: spark.createDataFrame([("S1-0", "S2-1", "us")], "s1 string, m string, country string"))
+    return SF
 
 
 def test_blocks_of_more_than_forty_rows(spark, blocks):
