@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, minhash, mixing, packing, pii
+from quern.llm._text import free
+from quern.llm.queries import pii_key
 from quern.runtime import row_keys, small, stage, table
 
 #: The least response of the language classifier; a text unlike every training text has responses near 0.
@@ -22,34 +24,48 @@ NEAR_PERCENT = 80
 ROW = "_row"
 
 
+#: Arrow batches hold whole texts here; the session's default of 10,000 rows would be tens of MB on both sides of a socket.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no known language (no letters, or unlike every language) go; a missing ``lang`` is filled in."""
-    found = langid.identify(docs, F.lit(True), pred="_lang", score="_score")
-    good = found.filter((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_RESPONSE))
-    return good.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    """Texts in no known language (no letters, or unlike every language) go; a missing ``lang`` is filled in.
+
+    Null, empty and blank texts go. The names of the two added columns are made unlike any of docs, so those pass unchanged.
+    """
+    pred, score = free(docs, "_lang"), free(docs, "_score")
+    found = langid.identify(docs, F.lit(True), pred=pred, score=score)
+    good = found.filter((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_RESPONSE))
+    return good.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id stays (nulls last)."""
-    rows = row_keys(docs, ROW)
-    found = minhash.near_rows(rows.select(F.col(ROW).alias("doc_id"), "text"), percent=NEAR_PERCENT)
-    gone = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias(ROW)))
-    return rows.join(small(gone), ROW, "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id stays (nulls last); texts without words all stay."""
+    row = free(docs, ROW)
+    rows = row_keys(docs, row)
+    found = minhash.near_rows(rows.select(F.col(row).alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    gone = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias(row)))
+    return rows.join(small(gone), row, "left_anti").select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts are replaced; ``n_chars`` follows."""
-    return pii.replace_pii(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data in the texts are replaced; ``n_chars`` follows (null for a null text). No row goes."""
+    return pii.replace_pii(docs, pii_key(spark), counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, copies and parts of documents that the mix takes."""
-    rows = row_keys(docs, ROW)
-    return mixing.realize(rows, mixing.mix(rows, key=ROW), ROW).select(*docs.columns)
+    """The documents, copies and parts of documents that the mix takes; rows with equal or null doc_id are rows of their own, and
+    those without words aren't taken."""
+    row = free(docs, ROW)
+    rows = row_keys(docs, row)
+    return mixing.realize(rows, mixing.mix(rows, key=row), row).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. Lowers the session's Arrow batches, for this application's memory."""
+    key, rows = BATCH_ROWS
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
     return packing.pack(docs)
 
 

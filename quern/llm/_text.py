@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Words in Java and DuckDB regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,13 @@ def fresh() -> None:
     trim()
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the word number of each token, and the tokens of each text (null: none).
 

@@ -137,12 +137,12 @@ def sample(docs: DataFrame, train: Column, max_train: int, max_chars: int) -> li
         return []
     # a language's rows below a hash limit that leaves about twice the rows wanted, so that no task ranks a whole language
     each = max(1, max_train // n)
-    hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("_h")).join(small(counts), "lang")
+    hashed = labelled.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(11))).join(small(counts), "lang")
     few = hashed.filter(F.pmod("_h", F.lit(1 << 20)) * F.col("_n") < F.lit((1 << 20) * (2 * each + 50)))
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = few.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).limit(max_train)
-    ids = small(ids.select(F.col("doc_id").alias("_id"), "_r", "_h"))
-    rows = labelled.join(ids, F.col("doc_id") == F.col("_id"), "inner").select("_r", "_h", "text", "lang").limit(2 * max_train).collect()
+    # repeated rows count once, so the same rows are drawn in every run
+    order = Window.partitionBy("lang").orderBy("_h")
+    drawn = few.dropDuplicates(["lang", "_h"]).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each)
+    rows = drawn.orderBy("_r", "_h", "lang").limit(max_train).select("_r", "_h", "text", "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_r"], r["_h"], r["lang"], r["text"]))]
 
 

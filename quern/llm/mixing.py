@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._text import WORD
+from quern.llm._text import WORD, free
 from quern.runtime import partitions, small, stage
 
 WEIGHTS = (5, 2, 1)
@@ -125,15 +125,16 @@ def realize(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
     ``key`` has to be unique in ``docs`` and not null (``runtime.row_keys`` makes one); a document that the mix doesn't take has no row.
     """
     names = ("size", "copies", "part_from", "part_to", "head_from", "head_to")
-    p = plan.select(key, F.struct(*names).alias("_mix"))
-    size, copies, part_from, part_to, head_from, head_to = (F.col(f"_mix.{c}") for c in names)
+    took, split, made = (free(docs, c) for c in ("_mix", "_split", "_out"))
+    p = plan.select(key, F.struct(*names).alias(took))
+    size, copies, part_from, part_to, head_from, head_to = (F.col(f"{took}.{c}") for c in names)
     cut = (part_to > 0) | (head_to > 0)
-    joined = docs.join(small(p, 300_000), key).withColumn("_split", F.when(cut, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    joined = docs.join(small(p, 300_000), key).withColumn(split, F.when(cut, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
 
     def part(a: Column, b: Column) -> Column:
         whole = (a == 0) & (b == size)
-        return F.when(b > a, F.when(whole, F.col("text")).otherwise(F.array_join(F.slice("_split", (a + 1).cast("int"), (b - a).cast("int")), " ")))
+        return F.when(b > a, F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(split, (a + 1).cast("int"), (b - a).cast("int")), " ")))
 
     texts = F.concat(F.array_repeat(F.col("text"), copies.cast("int")), F.array_compact(F.array(part(part_from, part_to), part(head_from, head_to))))
-    out = joined.withColumn("_out", F.explode(texts))
-    return out.select(*[F.col("_out").alias("text") if c == "text" else F.length("_out").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = joined.withColumn(made, F.explode(texts))
+    return out.select(*[F.col(made).alias("text") if c == "text" else F.length(made).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.llm._text import CACHES, slices, trim, words
 
@@ -37,7 +38,6 @@ REMEMBER = 250_000
 #: A word that ends in a Latin letter or digit and a run of ASCII punctuation.
 CORE_AND_TAIL = r"^(?P<core>[^'<]*[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])(?P<tail>[.,!#$%&*?;:\"|)]+)$"
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -223,18 +223,19 @@ def pack(
     max_loss: int | None = None,
     block_bytes: int = BLOCK_BYTES,
     remember: int = REMEMBER,
-    batch_rows: int | None = 2000,
+    loss_from: str | None = None,
 ) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text): every id lies in exactly one piece of one sequence.
 
-    ``tokenizer`` is a path, or by default the name of a public tokenizer that each executor looks up for itself. For
-    plain documents all ids bear loss. ``block_bytes`` and ``remember`` trade memory for time; ``batch_rows`` lowers the
-    session's Arrow batches, which by default hold 10,000 whole texts, tens of MB on both sides of the socket.
+    ``tokenizer`` is a path, or by default the name of a public tokenizer that each executor looks up for itself.
+    ``loss_from`` names a column with the number of leading ids of each document that bear no loss (a masked prompt; null:
+    none, more than there are: all), and a sequence has at most ``max_loss`` of the others; without it all ids bear loss.
+    With it, the pieces have a further column loss_tokens. ``block_bytes`` and ``remember`` trade memory for time.
     """
     limits = (max_tokens, max_segments, max_loss or max_tokens)
-    conf = docs.sparkSession.conf
-    if batch_rows and int(conf.get(BATCH_ROWS)) > batch_rows:
-        conf.set(BATCH_ROWS, str(batch_rows))
+
+    schema = SCHEMA if loss_from is None else f"{SCHEMA}, loss_tokens long"
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -244,18 +245,23 @@ def pack(
         first = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", block_bytes):
             ids, lengths = token_ids(batch.column("text"), path, remember)
-            packer = Packer(lengths, None, limits)
+            masked = None
+            if loss_from is not None:
+                masked = np.clip(pc.fill_null(batch.column("loss_from"), 0).to_numpy(zero_copy_only=False).astype(np.int64), 0, lengths)
+            packer = Packer(lengths, masked, limits)
             packer.run()
             got = np.array(packer.out, dtype=np.int64).reshape(-1, 5)
             doc, start, n, sequence, offset = got.T
             at = np.concatenate(([0], np.cumsum(lengths)))[doc] + start
             view = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), *map(pa.array, (start, n, np.array(crc, dtype=np.int64), lengths[doc], sequence + first, offset))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
+            columns = [start, n, np.array(crc, dtype=np.int64), lengths[doc], sequence + first, offset]
+            if masked is not None:
+                columns.append(np.maximum(0, start + n - np.maximum(start, masked[doc])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *map(pa.array, columns)], names=names)
             first += packer.n
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    if loss_from is None:
+        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", F.col(loss_from).cast("long").alias("loss_from")).mapInArrow(run, schema)

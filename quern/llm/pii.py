@@ -6,23 +6,29 @@ IPv4 addresses (octets up to 255, host part), national identifiers of the form 3
 permuted within its format: digits stay digits, letters letters, separators stay, check digits are computed anew, dates
 stay dates of the same form, octets stay octets. The permutation is a Feistel network over two halves of the value's
 number space with a keyed hash as round function, walked until the result is in the format again, so it is a bijection:
-equal values get equal pseudonyms in every document and different ones stay different. Values that fail validation
-are left as they are. Cards, IBANs and phones are also looked for in the shorter and later runs of whole groups of a run that fails
+equal values get equal pseudonyms in every document and different ones stay different. In small number spaces the
+network carries a rotation, which leaves no value as it was; in large ones a value that comes out unchanged (one in the
+size of the space) isn't counted. Values that fail validation are left as they are.
+
+Links hold across these spellings: cards, IBANs and phones with other separators; North American phones with and without
++1; dates year first, month first, and with two-place day and month. Dates with one-place parts and slash dates with the day
+first have permutations of their own by form, since not every day has a spelling in them. Cards, IBANs and phones are also looked for in the shorter and later runs of whole groups of a run that fails
 validation, and the search goes on right after a rejected start. Of runs that overlap, a card in a printed form (one
 group, 4-4-4-4, 4-6-5 or 4-6-4) goes first.
 
-The key is a parameter. Without it the pseudonyms can't be reversed; with it ``back`` gives the original value, unless a
-pseudonym makes a longer run with its neighbours valid that wasn't before.
+The key is a required argument. Without it the pseudonyms can't be reversed; with it ``back`` gives the original value, unless
+a pseudonym makes a longer run with its neighbours valid that wasn't before.
 
 Edge cases: null and empty texts stay as they are; values that touch a letter or digit on either side are no values; a
 document may hold any number of values; rows with equal doc_id are rows of their own; an empty table gives an empty
-result; other columns pass through.
+result; other columns pass through, but for n_<kind>, which the counts replace.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from calendar import monthrange
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +39,6 @@ from pyspark.sql import DataFrame
 
 from quern.llm._text import fresh
 
-KEY = b"quern test key"
 ROUNDS = 8
 KINDS = ("card", "iban", "date", "ip", "ssn", "phone", "email")
 
@@ -68,6 +73,18 @@ def feistel(value: int, size: int, key: bytes, tweak: bytes, back: bool = False)
             return value
 
 
+#: Number spaces below this size are permuted without a fixed point.
+SMALL_SPACE = 1 << 20
+
+
+def moved(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
+    """``feistel``, in small spaces as a rotation between the network and its inverse, so that no value stays."""
+    if not 1 < size < SMALL_SPACE:
+        return feistel(value, size, key, tweak, back)
+    shift = 1 + int.from_bytes(hmac.digest(key, b"shift|" + tweak, "sha256"), "big") % (size - 1)
+    return feistel((feistel(value, size, key, tweak) + (-shift if back else shift)) % size, size, key, tweak, True)
+
+
 def _round(key: bytes, tweak: bytes, r: int, x: int, bits: int) -> int:
     digest = hmac.digest(key, b"%d|%d|%d|" % (r, bits, x) + tweak, "sha256")
     return int.from_bytes(digest, "big") & ((1 << bits) - 1)
@@ -89,7 +106,7 @@ def refill(like: str, digits: str) -> str:
 
 def _number(digits: str, key: bytes, tweak: str, back: bool) -> str:
     """A permutation of all digit strings of this length."""
-    return str(feistel(int(digits), 10 ** len(digits), key, tweak.encode(), back)).zfill(len(digits))
+    return str(moved(int(digits), 10 ** len(digits), key, tweak.encode(), back)).zfill(len(digits))
 
 
 def card(value: str, key: bytes, back: bool = False) -> str | None:
@@ -128,14 +145,18 @@ def ssn(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def phone(value: str, key: bytes, back: bool = False) -> str | None:
-    """The country code (after +, up to the first separator) stays, the subscriber's digits are permuted."""
+    """The country code (after +, up to the first separator) stays, the subscriber's digits are permuted.
+
+    Ten digits after +1 or without a country code are one North American number.
+    """
     m = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]", value)
     head = m[0] if m else ""
     rest = value[len(head) :]
     digits = re.sub(r"\D", "", rest)
     if not 6 <= len(digits) <= 14:
         return None
-    return head + refill(rest, _number(digits, key, f"phone{head}", back))
+    code = "+1" if not head and len(digits) == 10 else head
+    return head + refill(rest, _number(digits, key, f"phone{code}", back))
 
 
 def date(value: str, key: bytes, back: bool = False) -> str | None:
@@ -157,10 +178,12 @@ def date(value: str, key: bytes, back: bool = False) -> str | None:
     # the form: year first, month first or day first, and which of the two shorter numbers has two places
     widths = tuple(len(p) for p in parts)
     days = _days()
-    form = f"date{year_first}{month_first}{sep}{widths}"
+    # every day has a spelling in these forms, so they share a permutation of the days
+    shared = year_first or (widths[:2] == (2, 2) and (month_first or sep != "/"))
+    form = "date" if shared else f"date{year_first}{month_first}{sep}{widths}"
     n = days[0][(y, m, d)]
     while True:
-        n = feistel(n, len(days[1]), key, form.encode(), back)
+        n = moved(n, len(days[1]), key, form.encode(), back)
         y, m, d = days[1][n]
         if year_first:
             return f"{y:04d}{sep}{m:02d}{sep}{d:02d}"
@@ -193,30 +216,34 @@ def _mod97(s: str) -> int:
 
 
 def email(value: str, key: bytes, back: bool = False) -> str | None:
-    """Letters and digits of the local part are permuted within their kinds (Latin-1 letters too); the domain stays."""
+    """Letters and digits of the local part, of any script, are permuted within their kinds; the domain stays."""
     local, domain = value.rsplit("@", 1)
     return f"{_symbols(local, key, 'email' + domain.lower(), back)}@{domain}"
 
 
-#: Kinds of characters that are permuted among themselves; others stay.
-ALPHABETS = (
-    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "".join(chr(i) for i in range(0xDF, 0x100) if i != 0xF7), "".join(chr(i) for i in range(0xC0, 0xDF) if i != 0xD7),
-)
-_PLACE = {c: (alphabet, i) for alphabet in ALPHABETS for i, c in enumerate(alphabet)}
+@lru_cache(65536)
+def _alphabet(c: str) -> tuple[str, int]:
+    """The characters that ``c`` is permuted among, and its place: letters of one case (or none) or digits among the 128
+    code points around it, whatever the script; other characters are alone."""
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return c, 0
+    first = ord(c) & ~0x7F
+    every = "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind)
+    return every, every.index(c)
 
 
 def _symbols(s: str, key: bytes, tweak: str, back: bool) -> str:
     """Permute a string among all that have characters of the same kinds in the same places."""
     value, size, shape = 0, 1, []
     for c in s:
-        alphabet, i = _PLACE.get(c, (c, 0))
+        alphabet, i = _alphabet(c)
         value, size = value * len(alphabet) + i, size * len(alphabet)
         shape.append(alphabet[0])
-    value = feistel(value, size, key, f"{tweak}|{''.join(shape)}".encode(), back)
+    value = moved(value, size, key, f"{tweak}|{''.join(shape)}".encode(), back)
     out = []
     for c in reversed(s):
-        alphabet, _ = _PLACE.get(c, (c, 0))
+        alphabet, _ = _alphabet(c)
         value, i = divmod(value, len(alphabet))
         out.append(alphabet[i])
     return "".join(reversed(out))
@@ -228,7 +255,7 @@ ALONE = {k: re.compile(x) for k, x in zip(KINDS_IN_ORDER, re.split(r"\|(?=\(\?<!
 OF = {"card": card, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "email": email}
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its values replaced, and how many of each kind."""
     found: dict[str, int] = {}
     out, done, at = [], 0, 0
@@ -238,7 +265,8 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
         for kind, end in _readings(text, m):
             new = OF[kind](text[start:end], key, back)
             if new is not None:
-                found[kind] = found.get(kind, 0) + 1
+                if new != text[start:end]:
+                    found[kind] = found.get(kind, 0) + 1
                 out += text[done:start], new
                 done = at = end
                 break
@@ -297,7 +325,7 @@ def _card_ends(text: str, start: int) -> Iterator[int]:
 _MAYBE = r"[0-9]|@"
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
     """The rows of docs with ``text`` pseudonymised, and with ``counts`` a column n_<kind> for each kind."""
     extra = [f"n_{k}" for k in KINDS] if counts else []
     docs = docs.drop(*extra)

@@ -31,7 +31,7 @@ def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nothing else runs in the session, so time goes before memory
-    return packing.pack(table(spark, sf_dir, "documents"), block_bytes=16 << 20, remember=1_000_000, batch_rows=None)
+    return packing.pack(table(spark, sf_dir, "documents"), block_bytes=16 << 20, remember=1_000_000)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +47,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+#: Where the key of the pseudonyms is read from, and a key for test data only.
+PII_KEY, TEST_KEY = "spark.quern.pii.key", "test data only"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(PII_KEY, TEST_KEY).encode()
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import partitions
+from quern.runtime import partitions, row_keys, small, stage
 
 CHAIN = 2
 #: Common words of English, French, German and Spanish that serve as anchors (fixed values).
@@ -131,3 +131,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fingerprint("spots").alias("fingerprint"), fingerprint("edited_spots").alias("edited_fingerprint"),
         jaccard("spots", "edited_spots").alias("near_edited"), jaccard("spots", "next_spots").alias("near_next"),
     )
+
+
+def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of docs (doc_id, text): members (doc_id, class_id) has a row per document, whose class is that of all
+    equal fingerprints and named by its smallest doc_id (null ids last); pairs (class_a, class_b, near) has all pairs of different
+    classes whose Jaccard similarity reaches the threshold.
+
+    Class representatives are dealt out by set length: a set meets those of its own length class and of the next shorter one,
+    at one of its rarest spots, of which a similar set must have one. Equal sets never meet, so copies cost nothing here.
+    """
+    rows = row_keys(docs.select("doc_id", "text"), "_row").withColumn("text", F.coalesce("text", F.lit("")))
+    signed = stage(with_spots(rows, "text", "spots").withColumn("mark", F.sha2(fingerprint("spots"), 256)).select("_row", "doc_id", "mark", "spots"))
+    heads = stage(signed.groupBy("mark").agg(F.min("_row").alias("head")))
+    members = signed.select("_row", "doc_id", "mark").join(small(heads), "mark")
+    names = signed.select(F.col("_row").alias("head"), F.col("doc_id").alias("class_id"))
+    sets = stage(signed.join(small(heads.select(F.col("head").alias("_row"))), "_row", "left_semi").select(F.col("_row").alias("head"), "spots", F.size("spots").alias("n"), length_class("spots", threshold).alias("part")))
+    at = sets.select("head", "n", "part", F.explode("spots").alias("spot"))
+    counts = stage(at.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1"))
+    nth = Window.partitionBy("head")
+    ranked = at.join(small(counts), "spot").withColumn("r", F.row_number().over(nth.orderBy("df", "spot"))).withColumn("shared", F.count("*").over(nth))
+    # spots of this set alone come first and take their places; a similar set has one of the first n - ceil(t n) + 1
+    prefix = stage(ranked.filter(F.col("r") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("head", "n", "part", "spot"))
+    a = prefix.select("spot", F.col("head").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.explode(F.array("part", F.col("part") - 1)).alias("part"))
+    b = prefix.select("spot", F.col("head").alias("b"), F.col("n").alias("nb"), "part")
+    once = F.when(F.col("pa") == F.col("part"), F.col("a") < F.col("b")).otherwise(F.lit(True))
+    met = a.join(b, ["spot", "part"]).filter(once & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)).select("a", "b").distinct()
+    both = met.join(sets.select(F.col("head").alias("b"), F.col("spots").alias("sb")), "b").join(sets.select(F.col("head").alias("a"), F.col("spots").alias("sa")), "a")
+    near = both.withColumn("near", jaccard("sa", "sb", threshold)).filter(F.col("near") >= threshold)
+    first = lambda c, out: names.select(F.col("head").alias(c), F.col("class_id").alias(out))
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").join(first("a", "class_a"), "a").join(first("b", "class_b"), "b")
+    return members.join(names, "head").select("doc_id", "class_id"), pairs.select("class_a", "class_b", "near")
