@@ -112,8 +112,7 @@ def _by_letter(c: Column, table: dict[str, str]) -> Column:
     more = {k: v for k, v in changed.items() if len(v) > 1}
     t = F.translate(c, "".join([*one, *none]), "".join(one.values()))
     if more:
-        pairs = F.str_to_map(F.lit("\t".join(f"{k}\n{v}" for k, v in more.items())), F.lit("\t"), F.lit("\n"))
-        spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+        spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(lookup(more), x), x)), "")
         t = F.when(t.rlike(f"[{_ranges(sorted(map(ord, more)))}]"), spelled).otherwise(t)
     return F.when(c.rlike(ASCII), c).otherwise(t)
 
@@ -190,7 +189,8 @@ def spaced_tokens(c: Column) -> Column:
 
 
 def lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    """A constant map, made from one literal."""
+    return F.str_to_map(F.lit("\t".join(f"{k}\n{v}" for k, v in table.items())), F.lit("\t"), F.lit("\n"))
 
 
 def domain_stem(c: Column) -> Column:
