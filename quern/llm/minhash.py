@@ -15,7 +15,8 @@ Plan:
    Each has a root R near their middle, and D(x) = x symmetric-difference R. For two texts |a diff b| = |D(a) diff D(b)|,
    so a link needs D(a) and D(b) to share (|D(a)| + |D(b)| - |a diff b|) / 2 elements, at least one unless both
    are linked with R. D holds a variant's own edits, rare things; with the elements rarest first, a prefix filter on
-   D leaves few candidates, and loses none.
+   D and the places of the elements that two prefixes share leave few candidates, and lose none. Roots whose members
+   have become one component, and members whose prefix holds only elements of their own, drop out before.
 4. Components by alternating large-star and small-star steps, cut off with written tables.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.85 with 32 bands of 4 it is missed
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from quern.llm._text import fresh, mix, slices, words
 from quern.runtime import row_keys, small, stage, unique_ids
 
-SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
+SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 80
 BLOCK_BYTES = 4 << 20
 #: Members up to which a bucket's pairs are listed; larger buckets go through the differences to a root.
 PAIRS_UP_TO = 32
@@ -162,15 +163,14 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (its first row's doc_id), kept, n_links (verified links of its
-    class's first text)."""
+    """One row per row of docs: doc_id, n_shingles, component_id (its first row's doc_id), kept."""
     if unique_ids(docs):
         return near_rows(docs, k, bands, rows, percent, pairs_up_to)
     keyed = row_keys(docs.select("doc_id", "text"), "key")
     found = near_rows(keyed.select(F.col("key").alias("doc_id"), "text"), k, bands, rows, percent, pairs_up_to).withColumnRenamed("doc_id", "key")
     names = keyed.select("key", "doc_id")
     first = found.join(names.select(F.col("key").alias("component_id"), F.col("doc_id").alias("first")), "component_id", "left")
-    return first.join(names, "key").select("doc_id", "n_shingles", F.col("first").alias("component_id"), "kept", "n_links")
+    return first.join(names, "key").select("doc_id", "n_shingles", F.col("first").alias("component_id"), "kept")
 
 
 def near_rows(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
@@ -178,8 +178,8 @@ def near_rows(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
     sketches = stage(profile(docs, k, bands, rows))
     real = sketches.filter("n_shingles > 0")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = classes.filter("copies > 1")
-    member = stage(real.select("doc_id", "d1", "d2").join(copies, ["d1", "d2"]).select("doc_id", "rep"))
+    copies = stage(classes.filter("copies > 1").select("d1", "d2", "rep"))
+    member = stage(real.select("doc_id", "d1", "d2").join(small(copies), ["d1", "d2"]).select("doc_id", "rep"))
     reps = real.join(small(member.filter("doc_id <> rep").select("doc_id")), "doc_id", "left_anti")
     at = reps.select("doc_id", F.explode("bands").alias("key"))
     full = at.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -211,11 +211,11 @@ def near_rows(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
         """Bucket rows with components, of buckets that hold two components or more."""
         named = buckets.join(small(comp.select(F.col("node").alias("doc_id"), "component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         spread = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        return named.join(spread.select("key", "n"), "key")
+        return named.join(small(stage(spread.select("key", "n"))), "key")
 
     # every bucket's centre with its members
     stars = buckets.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("d"))).alias("c")).select("key", (-F.col("c.d")).alias("c"))
-    pairs = buckets.join(stars, "key").filter("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+    pairs = buckets.join(small(stage(stars)), "key").filter("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
     tried = stage(pairs.distinct())
     links, comp = joined_by(stage(verified(tried)), None, None)
     # small buckets: all pairs between components
@@ -233,12 +233,11 @@ def near_rows(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
         links, comp = found
         found = stage(verified(stage(pairs)))
         links, comp = joined_by(found, links, comp)
-    degree = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     rep = F.coalesce("rep", "doc_id")
     out = sketches.select("doc_id", "n_shingles").join(small(member), "doc_id", "left").withColumn("rep", rep)
-    out = out.join(small(comp.select(F.col("node").alias("rep"), "component")), "rep", "left").join(small(degree.withColumnRenamed("doc_id", "rep")), "rep", "left")
+    out = out.join(small(comp.select(F.col("node").alias("rep"), "component")), "rep", "left")
     top = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", top.alias("component_id"), (F.col("doc_id") == top).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", top.alias("component_id"), (F.col("doc_id") == top).alias("kept"))
 
 
 def _roots(many: DataFrame) -> DataFrame:
@@ -248,40 +247,59 @@ def _roots(many: DataFrame) -> DataFrame:
     among its buckets, so the many buckets of one group agree on one root, or a few.
     """
     heaviest = F.max(F.struct("weight", (-F.col("doc_id")).alias("d")))
-    centres = many.groupBy("key").agg(heaviest.alias("h")).select("key", "h", (-F.col("h.d")).alias("c"))
+    centres = small(stage(many.groupBy("key").agg(heaviest.alias("h")).select("key", "h", (-F.col("h.d")).alias("c"))))
     up = many.select("key", "doc_id").join(centres, "key").groupBy("doc_id").agg(F.max("h").alias("h")).select(F.col("doc_id").alias("c"), (-F.col("h.d")).alias("up"))
     once = centres.select("key", "c").join(up, "c").select("key", F.col("up").alias("c"))
     roots = once.join(up, "c").select("key", F.col("up").alias("root"))
-    return many.select("key", "doc_id").join(roots, "key").select("root", "doc_id").distinct()
+    return many.select("key", "doc_id").join(small(stage(roots)), "key").select("root", "doc_id").distinct()
 
 
 def _by_differences(members: DataFrame, sets: DataFrame, join, percent: int) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
     """Link members with their roots, then propose the pairs that may be linked: ((links, components), pairs)."""
     root = sets.select(F.col("doc_id").alias("root"), F.col("shingles").alias("sr"))
     both = members.join(sets, "doc_id").join(root, "root")
-    d = F.concat(F.array_except("shingles", "sr"), F.array_except("sr", "shingles"))
-    differ = stage(both.select("root", "doc_id", F.size("shingles").alias("n"), F.size("sr").alias("nr"), d.alias("d")).withColumn("nd", F.size("d")))
+    mine, lost = F.array_except("shingles", "sr"), F.array_except("sr", "shingles")
+    differ = stage(both.select("root", "doc_id", F.size("shingles").alias("n"), F.size("sr").alias("nr"), mine.alias("mine"), lost.alias("lost")).withColumn("nd", F.size("mine") + F.size("lost")))
     # similarity >= p is a difference of at most (n + m) (1 - p) / (1 + p)
     near = F.col("nd") * (100 + percent) <= (F.col("n") + F.col("nr")) * (100 - percent)
     found = stage(differ.filter(near & (F.col("doc_id") != F.col("root"))).select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct())
     links, comp = join(found)
     named = comp.select(F.col("node").alias("doc_id"), "component")
     of_root = comp.select(F.col("node").alias("root"), F.col("component").alias("rc"))
-    rows = differ.join(small(named), "doc_id", "left").join(small(of_root), "root", "left")
+    rows = differ.filter("nd > 0").join(small(named), "doc_id", "left").join(small(of_root), "root", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id")).withColumn("rc", F.coalesce("rc", "root"))
     # elements that a partner in another component has to share at least
     inside = F.floor((F.col("nd") * (100 + percent) + (F.col("nr") - F.col("n")) * (100 - percent)) / (2 * (100 + percent))) + 1
     outside = F.col("nd") - F.floor(F.col("n") * (100 - percent) / percent)
     need = F.greatest(F.lit(1), F.when(F.col("component") == F.col("rc"), inside).otherwise(outside))
-    rows = rows.filter("nd > 0").withColumn("keep", F.col("nd") - need + 1).filter("keep > 0")
+    rows = rows.withColumn("keep", F.col("nd") - need + 1).filter("keep > 0").drop("rc", "nr")
+    # a root whose members are one component has no more to find
+    split = rows.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("root")
+    rows = stage(rows.join(small(split), "root", "left_semi"))
+    # an element that no other member has can't be shared, but takes its place in the prefix: who has ``keep`` of them has no link.
+    # an element that the root lacks is in no member's ``lost``, so counting among ``mine`` is enough here
+    owned = rows.select("root", "doc_id", F.explode("mine").alias("x")).groupBy("root", "x").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id"))
+    alone = owned.filter("df = 1").groupBy("root", "doc_id").agg(F.count("*").alias("alone"))
+    rows = rows.join(alone, ["root", "doc_id"], "left").filter(F.col("keep") > F.coalesce("alone", F.lit(0)))
+    rows = stage(rows.select("root", "doc_id", "component", "n", "nd", "keep", F.concat("mine", "lost").alias("d")))
     at = rows.select("root", "doc_id", "component", "n", "nd", "keep", F.explode("d").alias("x"))
-    counts = at.groupBy("root", "x").agg(F.count("*").alias("df")).filter("df > 1")
-    # an element that no other member has can't be shared, but it takes its place in the prefix
-    ranked = at.join(counts, ["root", "x"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    nth = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("df", "x"))
-    prefix = stage(ranked.withColumn("r", nth).filter((F.col("r") <= F.col("keep")) & (F.col("df") > 1)).select("root", "doc_id", "component", "n", "nd", "x"))
-    a = prefix.select("root", "x", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("nd").alias("da"))
-    b = prefix.select("root", "x", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("nd").alias("db"))
-    close = (F.abs(F.col("da") - F.col("db")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = a.join(b, ["root", "x"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    counts = stage(at.groupBy("root", "x").agg(F.count("*").alias("df")).filter("df > 1"))
+    each = Window.partitionBy("root", "doc_id")
+    ranked = at.join(small(counts), ["root", "x"]).withColumn("r", F.row_number().over(each.orderBy("df", "x"))).withColumn("shared", F.count("*").over(each))
+    # the elements of this member alone take the first places of its prefix
+    prefix = ranked.filter(F.col("r") <= F.col("keep") - (F.col("nd") - F.col("shared")))
+    prefix = stage(prefix.select("root", "doc_id", "component", "n", "nd", "shared", "r", "x"))
+
+    def side(c: str) -> DataFrame:
+        return prefix.select("root", "x", F.col("doc_id").alias(c), *[F.col(old).alias(f"{new}{c}") for old, new in (("component", "c"), ("n", "n"), ("nd", "d"), ("shared", "s"), ("r", "r"))])
+
+    most = (F.col("na") + F.col("nb")) * (100 - percent)
+    close = (F.abs(F.col("da") - F.col("db")) * (100 + percent) <= most) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    enough = lambda shared: 2 * shared * (100 + percent) >= (F.col("da") + F.col("db")) * (100 + percent) - most
+    # beside an element that both have, two differences share what lies before it in both and what lies behind it in both
+    before, behind = F.least("ra", "rb") - 1, F.least(F.col("sa") - F.col("ra"), F.col("sb") - F.col("rb"))
+    met = side("a").join(side("b"), ["root", "x"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & enough(before + 1 + behind))
+    # and what they share lies in both prefixes or behind the last element that the prefixes share
+    sums = met.groupBy("root", "a", "b", "da", "db", "na", "nb").agg((F.count("*") + F.min(behind)).alias("room"))
+    pairs = sums.filter(enough(F.col("room"))).select("a", "b").distinct()
     return (links, comp), pairs
