@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,10 +15,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat, hmm, langid, minhash, mixing, neighbours, packing, pii, spotsigs, toxicity
-from quern.llm.queries import ORACLE, QUERIES, remainder
+from quern.llm.queries import ORACLE, QUERIES, pii_key, remainder
 from tests.compare import check, duck
 
 SF = "/root/testdata/sf0.001"
+KEY = b"quern test key"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, words string, rank int"
 #: Nulls in every column, empty and blank texts, one word, control strings, ties, repeated rows, a long text; clashing columns.
 ODD = [
@@ -209,6 +211,28 @@ def test_packing_keeps_all_limits():
         assert sum(x[2] for x in s) <= 2048 and len(s) <= 5 and sum(p.loss(*x) for x in s) <= 700
 
 
+def test_packing_of_masked_prompts(spark, docs, odd):
+    """A limit on loss-bearing ids that binds: prompts of known length, every id once, all three limits kept."""
+    sizes = {(r["doc_id"], r["doc_tokens"]) for r in packing.pack(docs).collect()}
+    masked = docs.withColumn("prompt", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id") * 13 % 90))
+    first = {r["doc_id"]: r["prompt"] or 0 for r in masked.collect()}
+    free = Counter()
+    for r in packing.pack(masked, max_segments=6, loss_from="prompt").collect():
+        free[r["sequence_id"]] += r["loss_tokens"]
+    assert max(free.values()) > 900
+    pieces = packing.pack(masked, max_segments=6, max_loss=900, loss_from="prompt").collect()
+    assert {(r["doc_id"], r["doc_tokens"]) for r in pieces} == sizes
+    cover, loss, count, tokens = Counter(), Counter(), Counter(), Counter()
+    for r in pieces:
+        assert r["loss_tokens"] == sum(p >= first[r["doc_id"]] for p in range(r["start"], r["start"] + r["length"]))
+        cover[r["doc_id"]] += r["length"]
+        loss[r["sequence_id"]] += r["loss_tokens"]
+        count[r["sequence_id"]] += 1
+        tokens[r["sequence_id"]] += r["length"]
+    assert cover == dict(sizes) and 700 < max(loss.values()) <= 900 and max(count.values()) <= 6 and max(tokens.values()) <= 2048
+    assert sum(r["length"] for r in packing.pack(odd.withColumn("p", F.lit(10**6)), max_loss=5, loss_from="p").collect()) == sum(r["length"] for r in packing.pack(odd).collect())
+
+
 # 4
 
 
@@ -301,14 +325,14 @@ def test_apportionment_is_sainte_lague(spark):
 
 def test_pii_round_trip_and_links():
     text = "Call +1 (555) 010-9999, card 4111 1111 1111 1111 or 4111-1111-1111-1111, 10.0.0.255, 2020-02-29, 31.12.1999, 078-05-1120, a.b9@mail.example.org, GB82 WEST 1234 5698 7654 32."
-    out, found = pii.pseudonymise(text)
+    out, found = pii.pseudonymise(text, KEY)
     assert found == {"phone": 1, "card": 2, "ip": 1, "date": 2, "ssn": 1, "email": 1, "iban": 1}
-    assert len(out.split()) == len(text.split()) and pii.pseudonymise(out, back=True)[0] == text
+    assert len(out.split()) == len(text.split()) and pii.pseudonymise(out, KEY, back=True)[0] == text
     cards = [re.sub(r"\D", "", m[0]) for m in re.finditer(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", out)]
     assert cards[0] == cards[1] != "4111111111111111" and pii.luhn(cards[0])
     assert pii.pseudonymise(text, b"other")[0] != out
     for clean in ("4111 1111 1111 1112", "999.1.1.1", "2021-02-29", "no digits", "1234567890123456", "v1.2.3.4.5", "000-12-3456", "token = \"98a1\""):
-        assert pii.pseudonymise(clean) == (clean, {})
+        assert pii.pseudonymise(clean, KEY) == (clean, {})
 
 
 def test_pii_next_to_other_groups():
@@ -319,27 +343,71 @@ def test_pii_next_to_other_groups():
         ("9 ", "3782-822463-10005", " 77"), ("", "4222222222222", " 5"), ("", iban, " CALL NOW"), ("", "BE68539007547034", " EUR"), ("", iban, " 1234 12"), ("XK00 0000 ", iban, ""),
         ("12 34 ", "078-05-1120", " 99 11"), ("", "555-010-9999", " 123"),
     ):
-        out, found = pii.pseudonymise(a + value + b)
+        out, found = pii.pseudonymise(a + value + b, KEY)
         new = out[len(a) : len(a) + len(value)]
         assert sum(found.values()) == 1 and out == a + new + b and new != value, (a, value, b, out)
-        assert new == pii.pseudonymise(value)[0] and pii.pseudonymise(out, back=True)[0] == a + value + b
+        assert new == pii.pseudonymise(value, KEY)[0] and pii.pseudonymise(out, KEY, back=True)[0] == a + value + b
     both = f"{card} 5500 0000 0000 0004 {iban} {iban} 12"
-    assert pii.pseudonymise(both)[1] == {"card": 2, "iban": 2}
-    assert pii.pseudonymise("+1 (826) 555-4081 190.137.223.204")[1] == {"phone": 1, "ip": 1}
+    assert pii.pseudonymise(both, KEY)[1] == {"card": 2, "iban": 2}
+    assert pii.pseudonymise("+1 (826) 555-4081 190.137.223.204", KEY)[1] == {"phone": 1, "ip": 1}
     for clean in ("4111 1111 1111 1112 12", "BE68 5390 0754 7035 CALL NOW"):
-        assert pii.pseudonymise(clean)[1] == {}, clean
+        assert pii.pseudonymise(clean, KEY)[1] == {}, clean
+
+
+def test_pii_links_across_spellings_and_scripts():
+    """Every value changes, and one value has one pseudonym in each of the spellings that the docstring names."""
+    new = {x: pii.pseudonymise(x, KEY)[0] for x in (
+        "2024-03-09", "2024/03/09", "09.03.2024", "09-03-2024", "03/09/2024", "+1 826 555 4081", "826-555-4081", "(826) 555-4081",
+        "иван.петров@example.com", "łukasz@example.com", "李小龙@example.com", "μαρία9@example.com", "a@b.com",
+    )}
+    day = lambda s, order: dict(zip(order, re.findall(r"\d+", s), strict=True))
+    assert day(new["2024-03-09"], "ymd") == day(new["2024/03/09"], "ymd") == day(new["09.03.2024"], "dmy") == day(new["09-03-2024"], "dmy") == day(new["03/09/2024"], "mdy")
+    assert len({re.sub(r"\D", "", new[x])[-10:] for x in ("+1 826 555 4081", "826-555-4081", "(826) 555-4081")}) == 1
+    for old, x in new.items():
+        assert x != old and pii.pseudonymise(old, KEY)[1] and pii.pseudonymise(x, KEY, back=True)[0] == old, old
+        if "@" in old:
+            local, was = x.split("@")[0], old.split("@")[0]
+            assert all(a != b or not b.isalnum() for a, b in [(local, was)]) and [unicodedata.category(c) for c in local] == [unicodedata.category(c) for c in was]
+    letters = {c: pii.pseudonymise(f"{c}@b.com", KEY)[0] for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert len(set(letters.values())) == 26 and all(x[0] != c for c, x in letters.items())
+
+
+def brute_card(text, key):
+    """Cards alone, found by trying every run of 13 to 19 digits that stands apart."""
+    return re.sub(r"(?<![\w.])\d{13,19}(?![\w.])", lambda m: pii.card(m[0], key) or m[0], text)
+
+
+def test_pii_of_a_planted_table(spark):
+    """Replaced values against brute force, equal values linked across rows, all other text untouched."""
+    rng = random.Random(4)
+
+    def number():
+        body = "".join(rng.choices("0123456789", k=15))
+        return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+    cards = [number() for _ in range(20)]
+    rows = [(i, f"order {i % 7} by {cards[i % 20]} of {'x' * (i % 5)} value {i}. No {number()[:-1]}x") for i in range(200)]
+    found = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    assert {r["doc_id"]: (r["text"], r["n_card"]) for r in found} == {i: (brute_card(t, KEY), 1) for i, t in rows}
+    used = defaultdict(set)
+    for r in found:
+        used[cards[r["doc_id"] % 20]].add(r["text"].split(" by ")[1].split()[0])
+    assert all(len(x) == 1 for x in used.values()) and len(set.union(*used.values())) == len(set(cards))
 
 
 def test_feistel_is_a_permutation():
     for size in (1, 2, 7, 10, 100, 1000):
         image = [pii.feistel(i, size, b"k", b"t") for i in range(size)]
         assert sorted(image) == list(range(size)) and [pii.feistel(x, size, b"k", b"t", True) for x in image] == list(range(size))
+        image = [pii.moved(i, size, b"k", b"t") for i in range(size)]
+        assert sorted(image) == list(range(size)) and [pii.moved(x, size, b"k", b"t", True) for x in image] == list(range(size))
+        assert size == 1 or all(i != x for i, x in enumerate(image))
 
 
 def test_pii_edges(odd, empty):
-    rows = pii.replace_pii(odd).collect()
+    rows = pii.replace_pii(odd, KEY).collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r[0], r[1]) for r in ODD)
-    assert pii.replace_pii(empty).count() == 0
+    assert pii.replace_pii(empty, KEY).count() == 0
 
 
 # 7
@@ -352,7 +420,7 @@ def test_neighbours_brute_force(spark):
     rows += [(300, None), (301, [0.0] * 6), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (400, [1.0, 2.0]), (401, [2.0, 4.0]), (None, [1.0] * 6), (450, [])]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
     found = defaultdict(list)
-    for r in neighbours.nearest(table, F.col("vec_id") % 10 == 0, 5, 8, 16).collect():
+    for r in neighbours.nearest(table, F.col("vec_id") % 10 == 0, 5, 8 * 48, 16 * 48).collect():
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     good = {i: np.array(x) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all() and any(x)}
     for q, x in good.items():
@@ -364,6 +432,23 @@ def test_neighbours_brute_force(spark):
     assert neighbours.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_long_and_extreme_vectors(spark):
+    """2,048 dimensions, where sums of code products pass 2**24, and components at both ends of the double range."""
+    rng = np.random.default_rng(6)
+    base = np.abs(rng.normal(size=(60, 2048))) + 3
+    rows = [(i, x.tolist()) for i, x in enumerate(base)]
+    rows += [(100 + i, (rng.normal(size=3) * 10.0 ** (200 if i % 2 else -200)).tolist()) for i in range(30)]
+    found = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 5).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    good = {i: np.array(x) / np.abs(x).max() for i, x in rows}
+    for q, x in good.items():
+        if q % 5 == 0:
+            near = sorted(((-float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))), i) for i, y in good.items() if i != q and len(y) == len(x)))[:5]
+            got = sorted(found[q])
+            assert [i for _, i in near] == [i for _, i, _ in got] and np.allclose([-v for v, _ in near], [v for *_, v in got], rtol=0, atol=1e-12)
+
+
 # 8
 
 
@@ -392,7 +477,7 @@ def test_toxicity_query_and_edges(spark, odd, empty):
 # 9
 
 
-def brute_near(rows, percent=85):
+def brute_near(rows, percent=80):
     sets = {}
     for d, t in rows:
         w = words(lower(t))
@@ -423,6 +508,7 @@ def found_near(table, **how):
 def test_near_duplicates_brute_force(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert found_near(docs) == brute_near(rows)
+    assert found_near(docs, percent=85) == brute_near(rows, 85)
 
 
 def test_near_duplicates_of_one_large_group(spark):
@@ -502,6 +588,59 @@ def test_pruned_jaccard_agrees_above_the_threshold(spark):
     assert got[0][0] == got[0][1] == pytest.approx(0.8) and got[1][1] == 0 and got[2] == (0, 0)
 
 
+def test_similar_texts_brute_force(spark, docs, odd):
+    """Classes and pairs over length partitions against all pairs, with edited copies of many lengths."""
+    rng = random.Random(8)
+    base = [r["text"] for r in docs.limit(60).collect() if r["text"]]
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, base[i % len(base)]) for i in range(10)]
+    for i in range(60):
+        w = words(base[i % 20])
+        del w[rng.randrange(len(w)) :: max(2, len(w) // (1 + i % 12))]
+        rows.append((2000 + i, " ".join(w)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    members, pairs = spotsigs.similar(table, 0.7)
+    sets = {r["doc_id"]: frozenset(r["s"]) for r in spotsigs.with_spots(table, "text", "s").collect()}
+    heads = {}
+    for d in sorted(sets):
+        heads.setdefault(sets[d], d)
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {d: heads[s] for d, s in sets.items()}
+    want = {}
+    for s, a in heads.items():
+        for t, b in heads.items():
+            if a < b and len(s & t) >= 0.7 * len(s | t):
+                want[a, b] = len(s & t) / len(s | t)
+    got = {(r["class_a"], r["class_b"]): r["near"] for r in pairs.collect()}
+    assert got == pytest.approx(want) and len(want) > 20
+    members, pairs = spotsigs.similar(odd)
+    assert members.count() == len(ODD) and all(r["near"] >= 0.8 for r in pairs.collect())
+
+
+def test_toxicity_held_out(spark):
+    """Rows that the query holds out, in a corpus with enough of both labels."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
+    seen = [(labels[r["doc_id"]], r["predicted"]) for r in QUERIES["op8_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = [p for t, p in seen if t == 1], [p for t, p in seen if t == 0]
+    assert len(toxic) >= 3 and sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_pipeline_stages_of_an_empty_table_and_clashing_columns(spark, empty, docs):
+    """An empty table stays empty with its columns; columns named like those the stages add pass unchanged."""
+    import corpus_pipeline
+
+    steps = corpus_pipeline.STAGES
+    for _, step in steps[1:-1]:
+        out = step(spark, empty, SF)
+        assert out.columns == empty.columns and out.count() == 0
+    assert corpus_pipeline.sequences(spark, empty, SF).count() == 0
+    names = ["_lang", "_score", "_row", "lang_pred", "size", "taken", "component_id", "kept", "n_email", "_mix", "_split", "_out"]
+    table = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, step in steps[:-1]:
+        out = step(spark, table, SF)
+        assert out.columns == table.columns
+        assert out.filter(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0 < out.count()
+
+
 # the pipeline
 
 
@@ -518,7 +657,7 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in left.collect()} == {d for d, x in near.items() if x[2]}
     clean = corpus_pipeline.pseudonyms(spark, left, SF)
     texts = {r["doc_id"]: r["text"] for r in left.collect()}
-    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {d: pii.pseudonymise(t)[0] for d, t in texts.items()}
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {d: pii.pseudonymise(t, pii_key(spark))[0] for d, t in texts.items()}
     pieces = corpus_pipeline.run(spark, SF).collect()
     mixed = corpus_pipeline.mixture(spark, clean, SF).collect()
     assert check_pieces([(r["doc_id"], r["text"]) for r in mixed], pieces) == 0
