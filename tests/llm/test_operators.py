@@ -617,7 +617,7 @@ def test_similar_texts_brute_force(spark, docs, odd):
 
 def test_toxicity_held_out(spark):
     """Rows that the query holds out, in a corpus with enough of both labels."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
     seen = [(labels[r["doc_id"]], r["predicted"]) for r in QUERIES["op8_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
     toxic, clean = [p for t, p in seen if t == 1], [p for t, p in seen if t == 0]
