@@ -15,7 +15,7 @@ from quern.operators.features import token_idf
 from quern.operators.metrics import majority
 from quern.plans import sqltext as Q
 from quern.plans.registry import query
-from quern.runtime import scratch_root, small, table
+from quern.runtime import scratch_root, small, spread, stage, table
 from quern.sources import adapter, io
 
 REC = f"WITH {adapter.SQL}\n"
@@ -186,10 +186,18 @@ def char_trigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(coalesce(CAST(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) AS DOUBLE) / nullif(len(list_distinct(string_split(a.p_name || ' ' || b.p_name, ' '))), 0), 0), 6) AS jaccard FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    a, b = (p.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, ["p_brand", "p_size"]).filter("a < b")
-    return pairs.select("a", "b", F.round(S.token_jaccard(F.col("na"), F.col("nb")), 6).alias("jaccard"))
+    """The names of one brand and size are compared once each; their parts are then paired, each left name's with all right ones'."""
+    group = ["p_brand", "p_size", "part"]
+    names = table(spark, d, "part").groupBy(*group[:2], "p_name").agg(F.collect_list("p_partkey").alias("ids"))
+    names = stage(names.withColumn("part", F.pmod(F.xxhash64("p_name"), F.lit(PARTS))))
+    every = names.withColumn("part", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(PARTS)])))
+    a, b = (spread(t.select(*group, F.col("p_name").alias(f"n{k}"), F.col("ids").alias(f"ids{k}")), *group) for t, k in ((names, "a"), (every, "b")))
+    pairs = a.join(b, group).select("idsa", "idsb", F.coalesce(F.round(S.token_jaccard(F.col("na"), F.col("nb")), 6), F.lit(0.0)).alias("jaccard"))
+    return pairs.select("idsb", "jaccard", F.explode("idsa").alias("a")).select("a", F.explode("idsb").alias("b"), "jaccard").filter("a < b")
+
+
+#: The left names of a brand and size are dealt over so many parts, each joined with all right ones.
+PARTS = 4
 
 
 # joins
