@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.llm import langid, minhash, mixing, packing, pii
 from quern.llm._text import free
 from quern.llm.queries import pii_key
-from quern.runtime import row_keys, small, stage, table
+from quern.runtime import arrow_rows, row_keys, small, stage, table
 
 #: The least response of the language classifier; a text unlike every training text has responses near 0.
 LEAST_RESPONSE = 0.05
@@ -24,10 +24,6 @@ NEAR_PERCENT = 80
 ROW = "_row"
 
 
-#: Arrow batches hold whole texts here; the session's default of 10,000 rows would be tens of MB on both sides of a socket.
-BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no known language (no letters, or unlike every language) go; a missing ``lang`` is filled in.
 
@@ -63,9 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences. Lowers the session's Arrow batches, for this application's memory."""
-    key, rows = BATCH_ROWS
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    arrow_rows(spark)
     return packing.pack(docs)
 
 

@@ -37,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._text import slices, words
+from quern.llm._text import slices, trim, words
 from quern.runtime import stage
 
 STATES, CLASSES, WARM, FULL, ALPHA = 8, 2048, 6, 2, 0.1
-#: Text bytes of a block, tokens whose forward variables are held at once, tokens that are sorted by length together.
-BLOCK_BYTES, LATTICE, GATHER = 20 << 20, 500_000, 4_000_000
+#: Text bytes of a block and of a piece that is tokenised at once, documents in a written batch, tokens whose forward variables
+#: are held at once, tokens that are sorted by length together.
+BLOCK_BYTES, PIECE_BYTES, ROWS, LATTICE, GATHER = 20 << 20, 4 << 20, 2_000, 500_000, 4_000_000
 
 DOC_SCHEMA = "block long, doc_id long, part int, tokens binary, classes binary, word string, number int, class int, n long"
 
@@ -57,27 +58,66 @@ def classes_of(vocabulary: pa.Array, classes: int) -> np.ndarray:
     return codes[forms.indices.to_numpy(zero_copy_only=False)] if len(forms) else np.zeros(0, dtype=np.int64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]]:
+    """Documents (doc_id, part) of about BLOCK_BYTES of text, their distinct words, the number of each token's word, and each one's tokens.
+
+    A piece of PIECE_BYTES is tokenised as it comes, so only word numbers are held for a whole block.
+    """
+    rows, coded, counts, size = [], [], [], 0
+
+    def block() -> tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]:
+        chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+        return pa.Table.from_batches(rows), chunks[0].dictionary, np.concatenate([c.indices.to_numpy() for c in chunks]), np.concatenate(counts)
+
+    for piece in slices(batches, "text", PIECE_BYTES):
+        text = piece.column("text")
+        own = pc.sum(pc.binary_length(text)).as_py() or 0
+        if rows and size + own > BLOCK_BYTES:
+            yield block()
+            rows, coded, counts, size = [], [], [], 0
+        vocabulary, index, count = words(text)
+        # copies, so that the batch with its texts goes
+        rows.append(pa.record_batch([piece.column(c).take(pa.array(np.arange(piece.num_rows))) for c in ("doc_id", "part")], names=["doc_id", "part"]))
+        coded.append(pa.DictionaryArray.from_arrays(pa.array(index.astype(np.int32)), vocabulary))
+        counts.append(count)
+        size += own
+    if rows:
+        yield block()
+
+
+def written(block: int, docs: pa.Table, vocabulary: pa.Array, index: np.ndarray, counts: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: its documents, then its vocabulary with training counts."""
+    part, doc_id = (docs.column(c).combine_chunks() for c in ("part", "doc_id"))
+    cls, trained = classes_of(vocabulary, classes), np.zeros(len(vocabulary), np.int64)
+    coded, learn = cls.astype("<u2"), part.to_numpy(zero_copy_only=False) != 0
+    stops = np.cumsum(counts)
+    for a in range(0, len(counts), ROWS):
+        own, first = counts[a : a + ROWS], int(stops[a] - counts[a])
+        tokens = index[first : first + int(own.sum())]
+        trained += np.bincount(tokens[np.repeat(learn[a : a + ROWS], own)], minlength=len(vocabulary))
+        ends = np.concatenate(([0], np.cumsum(own)))
+        yield _rows(
+            block, len(own), doc_id.slice(a, len(own)), part.slice(a, len(own)), _binary(tokens.astype("<i4"), ends), _binary(coded[tokens], ends)
+        )
+    for a in range(0, len(vocabulary), 20_000):
+        k = min(20_000, len(vocabulary) - a)
+        yield _rows(block, k, word=vocabulary.slice(a, k), number=pa.array(np.arange(a, a + k), pa.int32()), cls=pa.array(cls[a : a + k], pa.int32()), n=pa.array(trained[a : a + k], pa.int64()))
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the values between each two ends, as one binary array."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
 def blocks(docs: DataFrame, classes: int) -> DataFrame:
     """Rows of documents (word null) and of block vocabularies (doc_id null), block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", BLOCK_BYTES):
-            vocabulary, index, counts = words(batch.column("text"))
-            part = batch.column("part").to_numpy(zero_copy_only=False)
-            cls = classes_of(vocabulary, classes)
-            trained = np.bincount(index[np.repeat(part != 0, counts)], minlength=len(vocabulary))
-            stops = np.cumsum(counts)
-            tokens, coded = index.astype("<i4"), cls[index].astype("<u2")
-            n, m = batch.num_rows, len(vocabulary)
-            yield _rows(
-                block, n, batch.column("doc_id"), batch.column("part"),
-                pa.array([tokens[b - c : b].tobytes() for b, c in zip(stops.tolist(), counts.tolist(), strict=True)], pa.binary()),
-                pa.array([coded[b - c : b].tobytes() for b, c in zip(stops.tolist(), counts.tolist(), strict=True)], pa.binary()),
-            )
-            for a in range(0, m, 20_000):
-                k = min(20_000, m - a)
-                yield _rows(block, k, word=vocabulary.slice(a, k), number=pa.array(np.arange(a, a + k), pa.int32()), cls=pa.array(cls[a : a + k], pa.int32()), n=pa.array(trained[a : a + k], pa.int64()))
+        for docs in gathered(batches):
+            yield from written(block, *docs, classes)
+            del docs
+            trim()
             block += 1
 
     return docs.mapInArrow(run, DOC_SCHEMA)
@@ -215,6 +255,7 @@ def baum_welch(rows: DataFrame, share: np.ndarray, states: int, warm: int, full:
                 for group in _groups(codes):
                     got = expected(m, *lattice([codes[i] for i in group])[1:])
                     sums = list(got[:3]) if sums is None else [a + b for a, b in zip(sums, got[:3], strict=True)]
+            trim()
             if sums is not None:
                 flat = np.concatenate([x.ravel() for x in sums])
                 cell = np.flatnonzero(flat > 0)
@@ -260,6 +301,7 @@ def score(
         if open_ is not None and open_.num_rows:
             w = open_.column("word")
             yield summed_rows(open_, np.array([open_.num_rows]))
+        trim()
 
     def summed_rows(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
         begin = np.concatenate(([0], ends[:-1]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import chat, hmm, langid, minhash, mixing, neighbours, packing, pii, spotsigs, toxicity
-from quern.runtime import table
+from quern.runtime import arrow_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)  # for the executors' memory
     found = hmm.score(table(spark, sf_dir, "documents"), remainder(10))
     return found.select("doc_id", (F.col("part") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

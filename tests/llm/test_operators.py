@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,33 @@ def test_hmm_forward_and_counts_are_exact():
     assert np.allclose(start, s0, atol=1e-5) and np.allclose(move, a0, atol=1e-5) and np.allclose(emit, e0, atol=1e-5) and total == pytest.approx(logs.sum(), rel=1e-5)
 
 
+def test_hmm_blocks_are_built_in_pieces(monkeypatch):
+    """A block spans batches and is tokenised a piece at a time; its documents are written some at a time."""
+    sizes, plain = [], hmm.words
+    monkeypatch.setattr(hmm, "words", lambda t: sizes.append(sum(len(x or "") for x in t.to_pylist())) or plain(t))
+    for name, value in (("BLOCK_BYTES", 4000), ("PIECE_BYTES", 400), ("ROWS", 7)):
+        monkeypatch.setattr(hmm, name, value)
+    texts = [None if i % 11 == 0 else "" if i % 13 == 0 else f"w{i % 5} w{i % 7}  x{i}" * (1 + i % 3) for i in range(500)]
+    batches = [pa.record_batch([pa.array(range(a, a + 50), pa.int64()), pa.array(texts[a : a + 50]), pa.array([i % 10 for i in range(a, a + 50)], pa.int32())], names=["doc_id", "text", "part"]) for a in range(0, 500, 50)]
+    blocks = list(hmm.gathered(iter(batches)))
+    assert max(sizes) <= 450 and 1 < len(blocks) < 5
+    found = {}
+    for docs, vocabulary, index, counts in blocks:
+        rows = list(hmm.written(1, docs, vocabulary, index, counts, 64))
+        words = {n: (w, k) for b in rows for w, n, k in zip(*(b.column(c).to_pylist() for c in ("word", "number", "n")), strict=True) if w is not None}
+        assert all(b.num_rows <= 7 for b in rows if b.column("tokens").null_count == 0)
+        seen = Counter()
+        for b in rows:
+            for d, t, c in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tokens", "classes")), strict=True):
+                if d is not None:
+                    numbers = np.frombuffer(t, "<i4").tolist()
+                    assert len(c) * 2 == len(t)
+                    found[d] = [words[n][0] for n in numbers]
+                    seen.update(numbers if d % 10 else [])
+        assert {n: k for n, (_, k) in words.items() if k} == dict(seen)
+    assert found == {i: (t or "").split() for i, t in enumerate(texts)}
+
+
 def test_hmm_edges(odd, empty):
     rows = {r["doc_id"]: r for r in hmm.score(odd, F.lit(1)).collect()}
     assert rows[1]["n_tokens"] == rows[2]["n_tokens"] == rows[3]["n_tokens"] == 1 and rows[8]["n_tokens"] == 30001
